@@ -1,0 +1,88 @@
+"""K-means over TF-IDF vectors: text clusters and topics."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
+from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from doclake.operators import tfidf
+
+
+@dataclass
+class Clustering:
+    model: PipelineModel
+    n_clusters: int
+    assignments: DataFrame  # key, prediction
+    silhouette: DataFrame   # one row: silhouette_sq
+    top_terms: DataFrame    # cluster, rank, term, weight
+    model_info: str
+
+    def sizes(self) -> DataFrame:
+        return cluster_sizes(self.assignments)
+
+
+def cluster_sizes(assignments: DataFrame) -> DataFrame:
+    return assignments.groupBy("prediction").agg(F.count("*").alias("size"))
+
+
+def top_terms(spark: SparkSession, model: PipelineModel, k: int) -> DataFrame:
+    """The ``k`` heaviest terms of every cluster centre, best first.
+
+    Centres are part of the model: clusters x vocabulary numbers, whatever the data size.
+    """
+    terms = tfidf.terms_of(model)
+    centers = next(s for s in model.stages if isinstance(s, KMeansModel)).clusterCenters()
+    rows = [
+        (cluster, rank + 1, terms[i], float(center[i]))
+        for cluster, center in enumerate(centers)
+        for rank, i in enumerate(sorted(range(len(terms)), key=lambda i: (-center[i], terms[i]))[:k])
+    ]
+    return spark.createDataFrame(rows, "cluster int, rank int, term string, weight double")
+
+
+def silhouette(predictions: DataFrame) -> float:
+    """Mean silhouette on squared Euclidean distance, linear in the number of rows."""
+    return ClusteringEvaluator(
+        featuresCol="features", predictionCol="prediction", metricName="silhouette", distanceMeasure="squaredEuclidean"
+    ).evaluate(predictions)
+
+
+def text_clustering(df: DataFrame, n_clusters: int = 5, max_features: int = 1000, n_terms: int = 10,
+                    text: str = "extracted_text", key: str = "data_id", seed: int = 42,
+                    stop_words: list[str] | None = None, score: bool = True) -> Clustering:
+    spark = df.sparkSession
+    vectorizer = tfidf.fit_tfidf(df, text, max_features, stop_words)
+    # The iterations and the evaluator read the vectors again and again, never the texts.
+    vectors = tfidf.vectorize(vectorizer, df.select(key, text), text).select(key, "features")
+    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        kmeans = KMeans(k=n_clusters, seed=seed, featuresCol="features", predictionCol="prediction").fit(vectors)
+        value = None
+        if score:
+            predicted = kmeans.transform(vectors)
+            found = predicted.select("prediction").distinct().count()
+            value = silhouette(predicted) if found > 1 else None
+    finally:
+        vectors.unpersist()
+    model = PipelineModel([*vectorizer.stages, kmeans])
+    return Clustering(
+        model=model,
+        n_clusters=n_clusters,
+        assignments=model.transform(df.select(key, text).where(F.col(text).isNotNull())).select(key, "prediction"),
+        silhouette=spark.createDataFrame([(value,)], "silhouette_sq double"),
+        top_terms=top_terms(spark, model, n_terms),
+        model_info=f"KMeans with {n_clusters} clusters",
+    )
+
+
+def topic_modeling(df: DataFrame, n_topics: int = 5, text: str = "extracted_text", key: str = "data_id",
+                   seed: int = 42, stop_words: list[str] | None = None) -> Clustering:
+    """Topics are clusters over a vocabulary of 500 terms, described by 15 terms each."""
+    result = text_clustering(df, n_topics, 500, 15, text, key, seed, stop_words, score=False)
+    result.model_info = f"Topic modeling with {n_topics} topics"
+    return result

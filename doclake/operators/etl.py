@@ -21,14 +21,17 @@ def extract_unanalyzed(files: DataFrame, processed_data: DataFrame, analytics_re
                        batch_size: int | None = None) -> DataFrame:
     """Texts of processed files that have no analytics row yet.
 
-    The anti-join runs on the narrow key before the texts are joined to their files.
+    Which documents are due is decided on keys alone. The texts come in last, in one join:
+    a small batch is broadcast to their scan, a large one shuffles them once.
     """
     columns = [c for c in ("file_id", "filename", "file_type", "metadata") if c in files.columns]
-    pending = processed_data.select("data_id", "file_id", "content_type", "extracted_text").join(
+    pending = processed_data.select("data_id", "file_id").join(
         analytics_results.select("data_id"), "data_id", "left_anti"
     )
-    rows = files.where("processed").select(*columns).join(pending, "file_id")
-    return rows if batch_size is None else rows.orderBy("data_id").limit(batch_size)
+    due = files.where("processed").select(*columns).join(pending, "file_id")
+    if batch_size is not None:
+        due = due.orderBy("data_id").limit(batch_size)
+    return due.join(processed_data.select("data_id", "content_type", "extracted_text"), "data_id")
 
 
 def etl_transform(docs: DataFrame, mode: str = "literal") -> DataFrame:
@@ -92,7 +95,11 @@ def etl_run(store: TableStore, batch_size: int | None = None, as_of: Column | No
         )
     transformed = etl_transform(docs).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        known = store.read("data_quality_metrics").select("metric_id")
+        # Only metrics of this batch's files can repeat; a small batch finds them unshuffled.
+        known = (
+            store.read("data_quality_metrics").select("metric_id", "file_id")
+            .join(transformed.select("file_id"), "file_id", "left_semi").select("metric_id")
+        )
         store.append("data_quality_metrics", quality_rows(transformed, as_of).join(known, "metric_id", "left_anti"))
         store.append("analytics_results", analytics_rows(transformed, as_of))
         return transformed.count()

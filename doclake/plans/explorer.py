@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 def free_sql(spark: SparkSession, query: str, tables: dict[str, DataFrame] | None = None, args=None) -> DataFrame:
     """Run one read-only statement over the given frames and the session catalog."""
     body = query.strip().rstrip(";").strip()
-    if not re.match(r"(?is)^(select|with|show|describe|desc)\b", body):
+    bare = re.sub(r"(?s)'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", " ", body)
+    if not re.match(r"(?i)\s*(select|with|show|describe|desc)\b", bare):
         raise ValueError("only SELECT, WITH, SHOW and DESCRIBE statements are run")
+    if re.search(r"(?i)\b(insert\s+(into|overwrite)|merge\s+into|delete\s+from|update\s+\w+\s+set)\b", bare):
+        raise ValueError("the statement would change data")
     for name, df in (tables or {}).items():
         df.createOrReplaceTempView(name)
     # Spark parses exactly one statement and rejects anything behind a semicolon.

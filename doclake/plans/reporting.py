@@ -88,14 +88,10 @@ def _rate(part, total) -> Column:
 
 
 def processing_stats(files: DataFrame, processed_data: DataFrame, analytics_results: DataFrame) -> DataFrame:
-    """One row: total, processed and analysed files and the processing rate.
-
-    Both inputs are one-row aggregates; joining them on a constant keeps it declarative.
-    """
-    left = files_scan(files).withColumn("_k", F.lit(1))
-    right = analyzed_files(files, processed_data, analytics_results).withColumn("_k", F.lit(1))
-    return left.join(right, "_k").select(
-        "total_files", "processed_files", "analyzed_files",
+    """One row: total, processed and analysed files and the processing rate."""
+    return files_scan(files).select(
+        "total_files", "processed_files",
+        analyzed_files(files, processed_data, analytics_results).scalar().alias("analyzed_files"),
         _rate("processed_files", "total_files").alias("processing_rate"),
     )
 
@@ -223,13 +219,11 @@ def upload_summary(extracted: DataFrame) -> DataFrame:
 
 def summary_report(files: DataFrame, metrics: DataFrame, as_of: Column | None = None) -> DataFrame:
     """One row: when, number of files, processing rate, computed quality score."""
-    left = files_scan(files).withColumn("_k", F.lit(1))
-    right = quality_score_overall(metrics).withColumn("_k", F.lit(1))
-    return left.join(right, "_k").select(
+    return files_scan(files).select(
         _now(as_of).alias("generated_at"),
         "total_files",
         _rate("processed_files", "total_files").alias("processing_rate"),
-        "quality_score",
+        quality_score_overall(metrics).select("quality_score").scalar().alias("quality_score"),
     )
 
 
