@@ -34,13 +34,17 @@ def clean_filename(filename) -> Column:
     return F.btrim(F.regexp_replace(safe, "_+", "_"), F.lit("_. "))
 
 
+def _fixed(value: Column, digits: int) -> Column:
+    exact = value.cast("decimal(38,20)")
+    return F.bround(exact, digits).cast(f"decimal(38,{digits})").cast("string")
+
+
 def format_file_size(size) -> Column:
     """``0 B`` or two decimals with a 1024-based unit; exact ties round to even."""
     size = _col(size).cast("double")
 
     def shown(power: int) -> Column:
-        scaled = (size / float(1024**power)).cast("decimal(38,20)")
-        return F.concat(F.bround(scaled, 2).cast("decimal(38,2)").cast("string"), F.lit(" " + X.SIZE_UNITS[power]))
+        return F.concat(_fixed(size / float(1024**power), 2), F.lit(" " + X.SIZE_UNITS[power]))
 
     text = F.when(size == 0, F.lit("0 B"))
     for power in range(len(X.SIZE_UNITS) - 1):
@@ -169,5 +173,5 @@ def time_ago(ts, as_of=None) -> Column:
 
 
 def percent_text(rate) -> Column:
-    """A rate with one decimal and a percent sign."""
-    return F.format_string("%.1f%%", _col(rate))
+    """A rate with one decimal and a percent sign; exact ties round to even."""
+    return F.concat(_fixed(_col(rate), 1), F.lit("%"))
