@@ -42,8 +42,8 @@ def validity(text, words_col=None, max_chars: int = 1_000_000) -> Column:
     text = _col(text)
     hits = reduce(lambda a, b: a + b, [_occurrences(text, m) for m in X.INVALID_MARKERS])
     score = F.greatest(F.lit(0.0), 1 - hits / F.greatest(TX.word_count(text, words_col), F.lit(1)))
-    return F.when(F.char_length(text) > max_chars, _result(0.2, "poor")).otherwise(
-        _result(score, F.when(score > 0.8, "good").otherwise("poor"))
+    return F.when(F.char_length(text) > max_chars, _result(0.2, "poor")).when(
+        text.isNotNull(), _result(score, F.when(score > 0.8, "good").otherwise("poor"))
     )
 
 
@@ -65,7 +65,7 @@ def consistency(file_type, content_type, mode: str = "literal") -> Column:
 
 def uniqueness(text, words_col=None) -> Column:
     ratio = TX.unique_word_ratio(text, words_col)
-    return _result(ratio, F.when(ratio > 0.7, "good").otherwise("fair"))
+    return F.when(ratio.isNotNull(), _result(ratio, F.when(ratio > 0.7, "good").otherwise("fair")))
 
 
 def accuracy() -> Column:
