@@ -66,7 +66,7 @@ def analytics_rows(transformed: DataFrame, as_of: Column | None = None) -> DataF
 
 def quality_rows(transformed: DataFrame, as_of: Column | None = None) -> DataFrame:
     """One row per document and check for ``data_quality_metrics``."""
-    return transformed.select("data_id", "file_id", F.inline("quality")).select(
+    return transformed.select("data_id", "file_id", F.inline_outer("quality")).select(
         SC.stable_id("data_id", "check_type").alias("metric_id"),
         "file_id",
         "check_type",

@@ -100,7 +100,9 @@ def quality_checks(docs: DataFrame, text="extracted_text", mode: str = "literal"
                    keep: tuple[str, ...] = ("data_id", "file_id")) -> DataFrame:
     """One row per document and check: keep columns, check_type, check_value, status."""
     checks = TX.with_words(docs, text).select(*keep, check_array(text, words_col="_words", mode=mode).alias("c"))
-    return checks.select(*keep, F.inline("c"))
+    # The outer form: for a plain generator the optimizer adds a not-empty filter, which
+    # would compute all the checks a second time. No array here is empty.
+    return checks.select(*keep, F.inline_outer("c"))
 
 
 def quality_rules(docs: DataFrame, text="extracted_text", min_words: int = 10, max_size_mb: int = 100,
@@ -123,7 +125,8 @@ def quality_rules(docs: DataFrame, text="extracted_text", min_words: int = 10, m
         broken["consistency"] = consistency("file_type", "content_type")["status"] != "good"
     flags = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in broken.items()]))
     # F.size of a NULL array is NULL under ANSI mode and -1 otherwise; both count as no word.
-    return TX.with_words(docs, text).select(*keep, F.explode(flags).alias("rule"))
+    # The outer form keeps the optimizer from evaluating the rules twice.
+    return TX.with_words(docs, text).select(*keep, F.explode_outer(flags).alias("rule")).where("rule IS NOT NULL")
 
 
 def key_duplicates(df: DataFrame, key: str) -> DataFrame:

@@ -39,9 +39,9 @@ def term_idf(df: DataFrame, text: str = "extracted_text", min_df: int = 1,
     """term, df, idf over the whole vocabulary: idf = ln((1 + n) / (1 + df)) + 1."""
     docs = tokens(df.select(text), text, stop_words)
     n = docs.agg(F.count("*")).scalar()
-    counts = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(
-        F.count("*").alias("df")
-    )
+    # Outer explodes: the plain ones would tokenize every text twice (once as a filter).
+    terms = docs.select(F.explode_outer(F.array_distinct("tokens")).alias("term")).where("term IS NOT NULL")
+    counts = terms.groupBy("term").agg(F.count("*").alias("df"))
     return counts.where(F.col("df") >= min_df).select(
         "term", "df", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf")
     )
@@ -52,7 +52,7 @@ def vocabulary(df: DataFrame, text: str = "extracted_text", max_features: int =
     """The ``max_features`` most frequent terms with their counts; ties in term order."""
     return (
         tokens(df.select(text), text, stop_words)
-        .select(F.explode("tokens").alias("term"))
+        .select(F.explode_outer("tokens").alias("term")).where("term IS NOT NULL")
         .groupBy("term").agg(F.count("*").alias("count"))
         .orderBy(F.desc("count"), "term").limit(max_features)
     )
@@ -85,6 +85,6 @@ def tfidf_weights(model: PipelineModel, df: DataFrame, key: str = "data_id", tex
     """The vectors in long form: key, term, weight (non-zero weights only)."""
     terms = F.array(*[F.lit(t) for t in terms_of(model)])
     long = vectorize(model, df.select(key, text), text).select(
-        key, F.posexplode(vector_to_array("features")).alias("i", "weight")
+        key, F.posexplode_outer(vector_to_array("features")).alias("i", "weight")
     )
     return long.where("weight > 0").select(key, F.element_at(terms, F.col("i") + 1).alias("term"), "weight")

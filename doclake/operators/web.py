@@ -215,7 +215,7 @@ def page_links(parsed: DataFrame, allowed_domains: list[str] | None = None) -> D
     allowed = F.array(U.url_host("url")) if allowed_domains is None else F.array(*[F.lit(d) for d in allowed_domains])
     targets = parsed.select("url", _page_targets(F.col("links")).alias("t"), allowed.alias("a"))
     kept = targets.select("url", F.filter("t", lambda x: F.array_contains(F.col("a"), U.url_host(x))).alias("t"))
-    return kept.select(F.col("url").alias("src"), F.posexplode("t").alias("pos", "dst"))
+    return kept.select(F.col("url").alias("src"), F.posexplode_outer("t").alias("pos", "dst")).where("dst IS NOT NULL")
 
 
 def link_counts(parsed: DataFrame) -> DataFrame:
