@@ -8,7 +8,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin, urlparse
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from doclake.functions import scalars as SC, text as TX, urls as U
 from doclake.session import shared_folder, written
@@ -22,7 +22,11 @@ REMOVED_TAGS = {"script", "style"}
 UNPRINTED_TAGS = {"template", "rt", "rp"}
 VERBATIM_TAGS = {"pre", "textarea"}
 
-PARSED = "title string, raw_text string, links array<struct<url string, internal boolean>>, error string"
+LINK = T.StructType([T.StructField("url", T.StringType()), T.StructField("internal", T.BooleanType())])
+PARSED = T.StructType([
+    T.StructField("title", T.StringType()), T.StructField("raw_text", T.StringType()),
+    T.StructField("links", T.ArrayType(LINK)), T.StructField("error", T.StringType()),
+])
 
 
 class _Page(HTMLParser):

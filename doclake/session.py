@@ -6,6 +6,8 @@ the frames they get.
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -24,9 +26,19 @@ SETTINGS = {
 }
 
 
+_shipped: set[str] = set()
+
+
 def configure(spark: SparkSession) -> SparkSession:
+    """Set the runtime settings above and give the package to the Python workers."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        target = os.path.join(tempfile.mkdtemp(prefix="doclake-"), "doclake")
+        spark.sparkContext.addPyFile(shutil.make_archive(target, "zip", root, "doclake"))
+        _shipped.add(app)
     return spark
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from doclake.functions import fixed as X, scalars as SC, text as TX
 from doclake.sources.documents import read_document
@@ -48,7 +48,10 @@ def ingest_files(raw: DataFrame, source_type: str = "upload", as_of: Column | No
     )
 
 
-@F.pandas_udf("text string, status string, error string")
+READ = T.StructType([T.StructField(n, T.StringType()) for n in ("text", "status", "error")])
+
+
+@F.pandas_udf(READ)
 def _read(extension: pd.Series, category: pd.Series, content: pd.Series) -> pd.DataFrame:
     rows = [
         (None, None, None) if c is None else read_document(e, k, c)

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from suite import queries_reports, queries_text  # noqa: F401
+from suite import queries_models, queries_reports, queries_text, queries_web  # noqa: F401
 from suite.catalog import QUERIES  # noqa: F401
