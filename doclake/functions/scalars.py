@@ -173,5 +173,18 @@ def time_ago(ts, as_of=None) -> Column:
 
 
 def percent_text(rate) -> Column:
-    """A rate with one decimal and a percent sign; exact ties round to even."""
-    return F.concat(_fixed(_col(rate), 1), F.lit("%"))
+    """A non-negative rate with one decimal and a percent sign, rounded by its exact value.
+
+    20 * rate is formed as a sum with its rounding error, so a rate like 12.35, whose double
+    lies just below the tie, goes down, and only true ties go to the even neighbour.
+    """
+    rate = _col(rate).cast("double")
+    a, b = rate * 16, rate * 4
+    twice = a + b
+    shift = twice - a
+    error = (a - (twice - shift)) + (b - shift)
+    tenths = F.floor(twice / 2)
+    rest = twice - 2 * tenths
+    up = (rest > 1) | ((rest == 1) & ((error > 0) | ((error == 0) & (tenths % 2 == 1))))
+    tenths = tenths + up.cast("int")
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from doclake.functions import scalars as SC, text as TX
 from doclake.operators import quality as Q
+from doclake.session import discard, written
 from doclake.sources.tables import TableStore
 
 
@@ -93,15 +93,19 @@ def etl_run(store: TableStore, batch_size: int | None = None, as_of: Column | No
         docs = extract_unanalyzed(
             store.read("files"), store.read("processed_data"), store.read("analytics_results"), batch_size
         )
-    transformed = etl_transform(docs).persist(StorageLevel.MEMORY_AND_DISK)
+    # Written, not cached: appending to a table makes Spark refresh every cached frame that
+    # reads it, and this one reads the analytics it is about to extend.
+    transformed = written(etl_transform(docs), "etl")
     try:
-        # Only metrics of this batch's files can repeat; a small batch finds them unshuffled.
-        known = (
-            store.read("data_quality_metrics").select("metric_id", "file_id")
-            .join(transformed.select("file_id"), "file_id", "left_semi").select("metric_id")
-        )
-        store.append("data_quality_metrics", quality_rows(transformed, as_of).join(known, "metric_id", "left_anti"))
-        store.append("analytics_results", analytics_rows(transformed, as_of))
-        return transformed.count()
+        count = transformed.count()
+        if count:
+            # Only metrics of this batch's files can repeat; a small batch finds them unshuffled.
+            known = (
+                store.read("data_quality_metrics").select("metric_id", "file_id")
+                .join(transformed.select("file_id"), "file_id", "left_semi").select("metric_id")
+            )
+            store.append("data_quality_metrics", quality_rows(transformed, as_of).join(known, "metric_id", "left_anti"))
+            store.append("analytics_results", analytics_rows(transformed, as_of))
+        return count
     finally:
-        transformed.unpersist()
+        discard(transformed)

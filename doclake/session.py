@@ -67,3 +67,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/doclake/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a frame that :func:`written` returned and nobody reads any more."""
+    spark = df.sparkSession
+    for folder in {os.path.dirname(f) for f in df.inputFiles() if "/doclake/" in f}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from doclake.functions import fixed as X, scalars as SC, text as TX
+from doclake.plans.reporting import upload_summary
+from doclake.session import discard, written
 from doclake.sources.documents import read_document
 from doclake.sources.tables import TableStore, mark_processed
 
@@ -114,20 +116,21 @@ def extraction_results(extracted: DataFrame) -> DataFrame:
 
 
 def ingest(store: TableStore, path: str, source_type: str = "upload", as_of: Column | None = None) -> DataFrame:
-    """Ingest a folder into the store; returns the status of every file.
+    """Ingest a folder into the store; returns the number of files per status.
 
     Texts are written first and ``files`` rows, with their processed flag, last. Files that
     are already in the store are left alone, so an interrupted run can be repeated.
     """
     known = store.read("files").select("file_id")
     new = ingest_files(read_files(store.spark, path), source_type, as_of).join(known, "file_id", "left_anti")
-    extracted = extract_content(new).persist()
+    # Written once: both tables are built from it, and one of them decides what is new.
+    extracted = written(extract_content(new), "extracted")
     try:
         have = store.read("processed_data").select("data_id")
         store.append("processed_data", processed_rows(extracted, as_of).join(have, "data_id", "left_anti"))
         ok = extracted.where(F.col("extract_status") == "ok").select("file_id")
         store.append("files", mark_processed(new, ok))
-        status = extracted.drop("extracted_text")
-        return store.spark.createDataFrame(status.groupBy("extract_status").count().collect(), "extract_status string, count long")
+        summary = upload_summary(extracted).collect()  # one row per status
+        return store.spark.createDataFrame(summary, "extract_status string, count long")
     finally:
-        extracted.unpersist()
+        discard(extracted)
