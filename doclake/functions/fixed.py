@@ -42,10 +42,11 @@ EMAIL_PATTERN = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 SIZE_UNITS = ["B", "KB", "MB", "GB", "TB"]
 
 # --- fixed values: Unicode classes, written as Java regex class bodies --------
-# White space as str.split() and str.strip() see it.
+# White space as str.split() and str.strip() see it. The characters above Latin-1 stand
+# behind a range test, so most characters are decided by two look-ups.
 WHITESPACE = (
     r" \t\n\x0B\f\r\x1c\x1d\x1e\x1f\x85\xa0"
-    r"\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
 )
 WHITESPACE_CHARS = (
     " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
@@ -56,8 +57,8 @@ WHITESPACE_CHARS = (
 LINE_BREAKS = r"\n\r\x0B\f\x1c\x1d\x1e\x85\u2028\u2029"
 # Digits as str.isdigit() sees them: decimal digits plus the digit forms below.
 DIGITS = (
-    r"\p{Nd}\xb2\xb3\xb9\u1369-\u1371\u19da\u2070\u2074-\u2079\u2080-\u2089"
+    r"0-9[\x{80}-\x{10ffff}&&[\p{Nd}\xb2\xb3\xb9\u1369-\u1371\u19da\u2070\u2074-\u2079\u2080-\u2089"
     r"\u2460-\u2468\u2474-\u247c\u2488-\u2490\u24ea"
     r"\u24f5-\u24fd\u24ff\u2776-\u277e\u2780-\u2788\u278a-\u2792"
-    r"\x{10a40}-\x{10a43}\x{10e60}-\x{10e68}\x{11052}-\x{1105a}\x{1f100}-\x{1f10a}"
+    r"\x{10a40}-\x{10a43}\x{10e60}-\x{10e68}\x{11052}-\x{1105a}\x{1f100}-\x{1f10a}]]"
 )

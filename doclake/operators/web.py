@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from doclake.functions import scalars as SC, text as TX, urls as U
-from doclake.session import shared_folder, written
+from doclake.session import written
 
 # --- fixed values: tags of the HTML standard with a special role ----------------
 VOID_TAGS = set(
@@ -242,72 +242,64 @@ def crawl_many(sources: DataFrame, pages: DataFrame, max_depth: int | None = Non
     per source, already inside the map tasks; no source is gathered whole.
     """
     spark = pages.sparkSession
-    shared_folder(spark)
-    config = sources.select(
+    base_host = U.url_host("base_url")
+    config = sources.where(F.col("base_url").isNotNull()).select(
         "source_name", "base_url", F.coalesce("max_pages", F.lit(50)).cast("long").alias("max_pages"),
-        F.coalesce("allowed_domains", F.array(U.url_host("base_url"))).alias("allowed"),
-    ).where(F.col("base_url").isNotNull()).checkpoint()
-    top = config.agg(F.max("max_pages")).first()[0]
-    if top is None:
-        top = 0
+        F.coalesce("allowed_domains", F.array(base_host)).alias("allowed"),
+    )
+    top = config.agg(F.coalesce(F.max("max_pages"), F.lit(0))).first()[0]
 
-    candidates = pages
+    candidates = pages.select("page_id", "url", "html")
     if not follow_external:
-        hosts = config.select(F.explode("allowed").alias("_host")).union(
-            config.select(U.url_host("base_url"))
-        ).distinct()
-        candidates = pages.withColumn("_host", U.url_host("url")).join(hosts, "_host", "left_semi").drop("_host")
-    # Parsed once; the levels below read only the narrow columns of this table.
-    parsed = written(parse_pages(candidates.select("page_id", "url", "html")), "pages")
+        hosts = config.select(F.explode(F.array_union("allowed", F.array(base_host))).alias("_host")).distinct()
+        candidates = candidates.withColumn("_host", U.url_host("url")).join(hosts, "_host", "left_semi").drop("_host")
+    # Parsed once; the levels below read only the narrow link table made from it.
+    parsed = written(parse_pages(candidates), "pages")
     node = F.struct("page_id", "parse_status", _page_targets(F.coalesce("links", F.array())).alias("targets"))
     nodes = written(
         parsed.select(U.without_fragment("url").alias("fetch_url"), "page_id", node.alias("n"))
         .groupBy("fetch_url").agg(F.min_by("n", "page_id").alias("n"))
-        .select("fetch_url", "n.*"),
+        .where(F.col("n.parse_status") == "ok")
+        .select("fetch_url", "n.page_id", "n.targets"),
         "links",
     )
 
-    order = Window.partitionBy("source_name").orderBy("parent_rank", "pos", "url")
+    queue = Window.partitionBy("source_name").orderBy("parent_rank", "pos", "url")
     frontier = config.select(
-        "source_name", F.col("base_url").alias("url"), F.lit(0).cast("long").alias("parent_rank"), F.lit(0).alias("pos")
+        "source_name", "max_pages", "allowed", F.lit(0).cast("long").alias("done"),
+        F.col("base_url").alias("url"), F.lit(0).cast("long").alias("parent_rank"), F.lit(0).alias("pos"),
     )
-    seen = [] if visited is None else [visited.select("source_name", "url")]
+    seen = None if visited is None else visited.select("source_name", "url")
     levels: list[DataFrame] = []
-    done = config.select("source_name", F.lit(0).cast("long").alias("done"))
-    depth = 0
-    while max_depth is None or depth <= max_depth:
-        for s in seen:
-            frontier = frontier.join(s, ["source_name", "url"], "left_anti")
-        fetched = (
+    while max_depth is None or len(levels) <= max_depth:
+        if seen is not None:
+            frontier = frontier.join(seen, ["source_name", "url"], "left_anti")
+        rank = F.row_number().over(queue)
+        level = written(
             frontier.withColumn("fetch_url", U.without_fragment("url")).join(nodes, "fetch_url")
-            .where(F.col("parse_status") == "ok")
-            .withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= top)
-            .join(config.select("source_name", "max_pages", "allowed"), "source_name")
-            .join(done, "source_name")
-            .where(F.col("_n") + F.col("done") <= F.col("max_pages"))
-            .select(
-                "source_name", "url", "page_id", "targets", "allowed",
-                (F.col("_n") + F.col("done")).alias("crawl_rank"), F.lit(depth).alias("depth"),
-            )
-            .checkpoint()
+            .withColumn("_n", rank).where(F.col("_n") <= top)
+            .withColumn("crawl_rank", F.col("_n") + F.col("done"))
+            .where(F.col("crawl_rank") <= F.col("max_pages"))
+            .select("source_name", "max_pages", "allowed", "url", "page_id", "targets", "crawl_rank",
+                    F.lit(len(levels)).alias("depth")),
+            "level",
         )
-        if fetched.isEmpty():
+        if level.isEmpty():
             break
-        levels.append(fetched)
-        seen.append(fetched.select("source_name", "url"))
-        # A source that reached its cap ranks no further page, as _n + done exceeds it.
-        done = (
-            done.join(fetched.groupBy("source_name").agg(F.count("*").alias("more")), "source_name", "left")
-            .select("source_name", (F.col("done") + F.coalesce("more", F.lit(0))).alias("done"))
-            .checkpoint()
+        levels.append(level)
+        fetched = level.select("source_name", "url")
+        seen = fetched if seen is None else seen.unionAll(fetched)
+        # A source has as many pages so far as the highest rank of its newest level.
+        done = level.groupBy("source_name").agg(F.max("crawl_rank").alias("done"))
+        links = level.join(done, "source_name").where(F.col("done") < F.col("max_pages")).select(
+            "source_name", "max_pages", "allowed", "done", "crawl_rank", F.posexplode("targets").alias("pos", "url")
         )
-        links = fetched.select("source_name", "crawl_rank", "allowed", F.posexplode("targets").alias("pos", "url"))
         if not follow_external:
             links = links.where(F.array_contains("allowed", U.url_host("url")))
         frontier = links.groupBy("source_name", "url").agg(
-            F.min(F.struct(F.col("crawl_rank").alias("parent_rank"), "pos")).alias("first")
-        ).select("source_name", "url", "first.*")
-        depth += 1
+            F.min(F.struct(F.col("crawl_rank").alias("parent_rank"), "pos")).alias("first"),
+            *[F.any_value(c).alias(c) for c in ("max_pages", "allowed", "done")],
+        ).select("source_name", "url", "max_pages", "allowed", "done", "first.*")
 
     columns = ["source_name", "crawl_rank", "depth", "url", "page_id"]
     crawled = spark.createDataFrame([], "source_name string, crawl_rank long, depth int, url string, page_id long")

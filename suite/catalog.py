@@ -29,7 +29,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name in ("files", "processed_data", "analytics_results", "data_quality_metrics", "site_pages"):
             return view(self.spark, self.sf_dir, name, self.hosts)
-        return load(self.spark, self.sf_dir, name)
+        return load(self.spark, self.sf_dir, name, spread=name == "pages")
 
 
 def query(name: str, sql: str | None = None, hosts: int = 1):
@@ -61,15 +61,9 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 NOW = f"TIMESTAMP '{AS_OF}'"
 
 
-def _re2(java_class: str) -> str:
-    """The class body in the checking engine's regex dialect, which writes \\x{hhhh}."""
-    import re
-
-    return re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", java_class.replace(r"\x85", r"\x{85}").replace(r"\xa0", r"\x{a0}"))
-
-
-WS = _re2(X.WHITESPACE)
-LB = _re2(X.LINE_BREAKS)
+# Class bodies in the checking engine's regex dialect.
+WS = "".join(f"\\x{{{ord(c):x}}}" for c in X.WHITESPACE_CHARS)
+LB = "".join(f"\\x{{{c:x}}}" for c in (10, 13, 11, 12, 28, 29, 30, 0x85, 0x2028, 0x2029))
 ALL_WS = "concat(" + ", ".join(f"chr({ord(c)})" for c in X.WHITESPACE_CHARS) + ")"
 WORDS = f"regexp_extract_all(extracted_text, '[^{WS}]+')"
 N_SENT = "CAST(len(list_filter(string_split(extracted_text, '.'), lambda s: trim(s, {ws}) <> '')) AS INT)".format(ws=ALL_WS)

@@ -84,11 +84,36 @@ SELECT page_id,
   '</article>')) AS html
 FROM pages""",
 }
-BASE_TABLES = ["documents", "pages", "benchmark", "labels", "events", "orders"]
+# Columns of the given tables in use; naming them saves the footer job of every read.
+GIVEN = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+}
+
+
+# Below this size a file is one or two row groups, so one or two tasks would do all the work.
+SMALL_BYTES = 64 * 1024 * 1024
+WIDE_TABLES = {"documents", "pages"}
+
 
+def load(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A given table. ``spread`` deals the rows of a small file of texts to all cores.
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    Large tables have enough row groups of their own and are never reshuffled for this.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.schema(GIVEN[name]).parquet(path)
+    if spread and name in WIDE_TABLES:
+        location = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = location.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.getContentSummary(location).getLength() < SMALL_BYTES:
+            return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def statement(name: str, engine: str, hosts: int = 1) -> str:
@@ -98,9 +123,9 @@ def statement(name: str, engine: str, hosts: int = 1) -> str:
 def view(spark: SparkSession, sf_dir: str, name: str, hosts: int = 1) -> DataFrame:
     """A derived table as a frame."""
     sql = statement(name, "spark", hosts)
-    for t in BASE_TABLES:
+    for t in GIVEN:
         if f"FROM {t}" in sql:
-            load(spark, sf_dir, t).createOrReplaceTempView(f"given_{t}")
+            load(spark, sf_dir, t, spread=name in ("processed_data", "site_pages")).createOrReplaceTempView(f"given_{t}")
             sql = sql.replace(f"FROM {t}", f"FROM given_{t}")
     return spark.sql(sql)
 
