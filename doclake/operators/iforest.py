@@ -141,7 +141,8 @@ def fit(df: DataFrame, features: list[str] | None = None, key: str = "data_id",
         max_samples: int = 256, contamination: float = 0.1, seed: int = 42) -> tuple[IsolationForest, DataFrame]:
     """Fit the forest and return it with the labelled rows: key, anomaly_score, anomaly."""
     features = list(features or ML_FEATURES)
-    rows = df.select(key, *features)
+    # The features are narrow and read three times, the texts behind them are wide: write once.
+    rows = written(df.select(key, *features), "forest-features")
     n_rows = rows.count()
     if n_rows == 0:
         raise ValueError("no rows to train on")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
-    CountVectorizerModel, ElementwiseProduct, IDF, Normalizer, RegexTokenizer, StopWordsRemover,
+    CountVectorizerModel, ElementwiseProduct, Normalizer, RegexTokenizer, StopWordsRemover,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -34,15 +36,28 @@ def tokens(df: DataFrame, text: str = "extracted_text", stop_words: list[str] |
     return remover.transform(tokenizer.transform(df.where(F.col(text).isNotNull()))).drop("_raw")
 
 
+def term_statistics(df: DataFrame, text: str = "extracted_text", stop_words: list[str] | None = None) -> DataFrame:
+    """term, tf (occurrences), df (texts it occurs in), from one pass over the texts.
+
+    Each text gives its tokens followed by its distinct tokens, so position tells the two
+    counts apart. A leading empty token counts the texts: the row of term '' has their
+    number as tf. Counts combine before the shuffle, so frequent terms are no hot keys.
+    The explode is the outer form: the plain one would tokenize every text twice.
+    """
+    listed = F.concat(F.array(F.lit("")), "tokens", F.array_distinct("tokens"))
+    rows = tokens(df.select(text), text, stop_words).select(
+        F.size("tokens").alias("n"), F.posexplode_outer(listed).alias("pos", "term")
+    )
+    return rows.groupBy("term").agg(
+        F.count_if(F.col("pos") <= F.col("n")).alias("tf"), F.count_if(F.col("pos") > F.col("n")).alias("df")
+    )
+
+
 def term_idf(df: DataFrame, text: str = "extracted_text", min_df: int = 1,
              stop_words: list[str] | None = None) -> DataFrame:
     """term, df, idf over the whole vocabulary: idf = ln((1 + n) / (1 + df)) + 1."""
-    docs = tokens(df.select(text), text, stop_words)
-    n = docs.agg(F.count("*")).scalar()
-    # Outer explodes: the plain ones would tokenize every text twice (once as a filter).
-    terms = docs.select(F.explode_outer(F.array_distinct("tokens")).alias("term")).where("term IS NOT NULL")
-    counts = terms.groupBy("term").agg(F.count("*").alias("df"))
-    return counts.where(F.col("df") >= min_df).select(
+    n = df.where(F.col(text).isNotNull()).agg(F.count("*")).scalar()
+    return term_statistics(df, text, stop_words).where((F.col("df") >= min_df) & (F.col("term") != "")).select(
         "term", "df", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf")
     )
 
@@ -50,25 +65,24 @@ def term_idf(df: DataFrame, text: str = "extracted_text", min_df: int = 1,
 def vocabulary(df: DataFrame, text: str = "extracted_text", max_features: int = 1000,
                stop_words: list[str] | None = None) -> DataFrame:
     """The ``max_features`` most frequent terms with their counts; ties in term order."""
-    return (
-        tokens(df.select(text), text, stop_words)
-        .select(F.explode_outer("tokens").alias("term")).where("term IS NOT NULL")
-        .groupBy("term").agg(F.count("*").alias("count"))
-        .orderBy(F.desc("count"), "term").limit(max_features)
-    )
+    known = term_statistics(df, text, stop_words).where("term <> ''")
+    return known.orderBy(F.desc("tf"), "term").limit(max_features).select("term", F.col("tf").alias("count"))
 
 
 def fit_tfidf(df: DataFrame, text: str = "extracted_text", max_features: int = 1000,
               stop_words: list[str] | None = None, out: str = "features") -> PipelineModel:
-    """Fit vocabulary and idf. Only the vocabulary (at most ``max_features``) reaches the driver."""
+    """Fit vocabulary and idf in one pass; at most ``max_features`` + 1 rows reach the driver."""
     tokenizer, remover = _stages(text, stop_words)
-    terms = [r["term"] for r in vocabulary(df, text, max_features, stop_words).collect()]
-    if not terms:
+    top = (
+        term_statistics(df, text, stop_words)
+        .orderBy(F.desc(F.col("term") == ""), F.desc("tf"), "term").limit(max_features + 1).collect()
+    )
+    if len(top) < 2:
         raise ValueError("no terms: every text is empty or holds stop words only")
-    counter = CountVectorizerModel.from_vocabulary(terms, inputCol="tokens", outputCol="_tf")
-    counted = counter.transform(tokens(df.select(text), text, stop_words))
-    idf = IDF(inputCol="_tf", outputCol="_idf").fit(counted).idf
-    weigh = ElementwiseProduct(scalingVec=Vectors.dense(idf.toArray() + 1.0), inputCol="_tf", outputCol="_weighted")
+    n, top = top[0]["tf"], top[1:]
+    counter = CountVectorizerModel.from_vocabulary([r["term"] for r in top], inputCol="tokens", outputCol="_tf")
+    idf = Vectors.dense([math.log((1 + n) / (1 + r["df"])) + 1 for r in top])
+    weigh = ElementwiseProduct(scalingVec=idf, inputCol="_tf", outputCol="_weighted")
     norm = Normalizer(p=2.0, inputCol="_weighted", outputCol=out)
     return PipelineModel([tokenizer, remover, counter, weigh, norm])
 
