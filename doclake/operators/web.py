@@ -274,10 +274,12 @@ def crawl_many(sources: DataFrame, pages: DataFrame, max_depth: int | None = Non
     while max_depth is None or len(levels) <= max_depth:
         if seen is not None:
             frontier = frontier.join(seen, ["source_name", "url"], "left_anti")
-        rank = F.row_number().over(queue)
+        # Written first, so its size is known when the join is planned: a small frontier is
+        # broadcast to the link table, which then is not shuffled at every level.
+        frontier = written(frontier.withColumn("fetch_url", U.without_fragment("url")), "frontier")
         level = written(
-            frontier.withColumn("fetch_url", U.without_fragment("url")).join(nodes, "fetch_url")
-            .withColumn("_n", rank).where(F.col("_n") <= top)
+            frontier.join(nodes, "fetch_url")
+            .withColumn("_n", F.row_number().over(queue)).where(F.col("_n") <= top)
             .withColumn("crawl_rank", F.col("_n") + F.col("done"))
             .where(F.col("crawl_rank") <= F.col("max_pages"))
             .select("source_name", "max_pages", "allowed", "url", "page_id", "targets", "crawl_rank",
@@ -362,20 +364,22 @@ def page_file_id(url) -> Column:
     return F.concat(F.lit("web_"), F.sha2(F.col(url) if isinstance(url, str) else url, 256))
 
 
-def store_pages(parsed: DataFrame, pages: DataFrame, as_of: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows for ``files`` and ``processed_data`` from parsed pages and their raw HTML."""
+def store_pages(parsed: DataFrame, as_of: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows for ``files`` and ``processed_data`` from parsed pages that kept their ``html``.
+
+    ``parse_pages(pages, keep=("page_id", "html"))`` carries the raw page along, so it need
+    not be joined back.
+    """
     now = F.current_timestamp() if as_of is None else as_of
-    raw = pages.select("page_id", F.encode("html", "UTF-8").alias("content"))
     good = parsed.where(F.col("parse_status") == "ok") if "parse_status" in parsed.columns else parsed
+    raw = F.encode("html", "UTF-8")
     file_id = page_file_id("url")
+    about = F.struct("url", "title", "word_count", "char_count", "internal_links", "external_links")
     files = good.select(
-        "page_id", file_id.alias("file_id"),
-        F.concat(F.lit("webpage_"), F.sha2("url", 256), F.lit(".html")).alias("filename"),
-        F.to_json(F.struct("url", "title", "word_count", "char_count", "internal_links", "external_links")).alias("metadata"),
-    ).join(raw, "page_id").select(
-        "file_id", "filename", F.lit(".html").alias("file_type"), F.length("content").cast("long").alias("file_size"),
+        file_id.alias("file_id"), F.concat(F.lit("webpage_"), F.sha2("url", 256), F.lit(".html")).alias("filename"),
+        F.lit(".html").alias("file_type"), F.length(raw).cast("long").alias("file_size"),
         F.lit("web_crawl").alias("source_type"), now.alias("upload_date"), F.lit(True).alias("processed"),
-        "content", "metadata",
+        raw.alias("content"), F.to_json(about).alias("metadata"),
     )
     processed = good.select(
         SC.stable_id(file_id, prefix="data").alias("data_id"), file_id.alias("file_id"),

@@ -23,6 +23,8 @@ SETTINGS = {
     # Joins of narrow keys with wide texts hash the keys instead of sorting the texts.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    # Top-k per group is cut inside the map tasks also for k above the default of 1000.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
 

@@ -9,7 +9,7 @@ from doclake.functions import fixed as X, scalars as SC, text as TX
 from doclake.plans.reporting import upload_summary
 from doclake.session import discard, written
 from doclake.sources.documents import read_document
-from doclake.sources.tables import TableStore, mark_processed
+from doclake.sources.tables import TableStore
 
 # Categories whose text needs a Python reader; all others are plain expressions.
 READ_IN_PYTHON = ["documents", "spreadsheets", "presentations", "images"]
@@ -120,17 +120,28 @@ def ingest(store: TableStore, path: str, source_type: str = "upload", as_of: Col
 
     Texts are written first and ``files`` rows, with their processed flag, last. Files that
     are already in the store are left alone, so an interrupted run can be repeated.
+
+    File contents are never shuffled for a small list: which files are new, and which of
+    them failed, are narrow tables written first, so that the planner knows their size and
+    broadcasts them to the content scan.
     """
+    new, parts = ingest_files(read_files(store.spark, path), source_type, as_of), []
     known = store.read("files").select("file_id")
-    new = ingest_files(read_files(store.spark, path), source_type, as_of).join(known, "file_id", "left_anti")
-    # Written once: both tables are built from it, and one of them decides what is new.
+    if not known.isEmpty():
+        ids = written(new.select("file_id").join(known, "file_id", "left_anti"), "new-files")
+        parts.append(ids)
+        new = new.join(ids, "file_id", "left_semi")
     extracted = written(extract_content(new), "extracted")
+    failed = written(extracted.where(F.col("extract_status") != "ok").select("file_id"), "failed-files")
+    parts += [extracted, failed]
     try:
-        have = store.read("processed_data").select("data_id")
-        store.append("processed_data", processed_rows(extracted, as_of).join(have, "data_id", "left_anti"))
-        ok = extracted.where(F.col("extract_status") == "ok").select("file_id")
-        store.append("files", mark_processed(new, ok))
+        texts = processed_rows(extracted, as_of)
+        have = store.read("processed_data").select("data_id").join(texts.select("data_id"), "data_id", "left_semi")
+        store.append("processed_data", texts.join(have, "data_id", "left_anti"))
+        flagged = new.drop("processed").join(failed.withColumn("_failed", F.lit(True)), "file_id", "left")
+        store.append("files", flagged.withColumn("processed", F.col("_failed").isNull()))
         summary = upload_summary(extracted).collect()  # one row per status
         return store.spark.createDataFrame(summary, "extract_status string, count long")
     finally:
-        discard(extracted)
+        for part in parts:
+            discard(part)

@@ -148,7 +148,7 @@ def test_many_sources(spark, site):
 
 
 def test_store_pages(spark, site):
-    files, processed = W.store_pages(W.parse_pages(site), site)
+    files, processed = W.store_pages(W.parse_pages(site, keep=("page_id", "html")))
     assert files.count() == processed.count() == len(GRAPH)
     row = files.join(processed, "file_id").where("filename like 'webpage_%' and extracted_text = 'plain'").first()
     assert row["source_type"] == "web_crawl" and row["content_type"] == "web_page" and bytes(row["content"]) == b"plain"
