@@ -17,23 +17,33 @@ def join_files_processed(files: DataFrame, processed_data: DataFrame) -> DataFra
     )
 
 
-def extract_unanalyzed(files: DataFrame, processed_data: DataFrame, analytics_results: DataFrame,
-                       batch_size: int | None = None) -> DataFrame:
-    """Texts of processed files that have no analytics row yet.
-
-    Which documents are due is decided on keys alone. The texts come in last, in one join:
-    a small batch is broadcast to their scan, a large one shuffles them once.
-    """
+def due_documents(files: DataFrame, processed_data: DataFrame, analytics_results: DataFrame,
+                  batch_size: int | None = None) -> DataFrame:
+    """Keys and file attributes of processed files' texts that have no analytics row yet."""
     columns = [c for c in ("file_id", "filename", "file_type", "metadata") if c in files.columns]
+    if batch_size is not None:
+        # Texts that are NULL are never analysed; a batch of nothing else would block all later ones.
+        processed_data = processed_data.where(F.col("extracted_text").isNotNull())
     pending = processed_data.select("data_id", "file_id").join(
         analytics_results.select("data_id"), "data_id", "left_anti"
     )
     due = files.where("processed").select(*columns).join(pending, "file_id")
-    if batch_size is not None:
-        due = due.orderBy("data_id").limit(batch_size)
+    return due if batch_size is None else due.orderBy("data_id").limit(batch_size)
+
+
+def with_texts(due: DataFrame, processed_data: DataFrame) -> DataFrame:
     return due.join(processed_data.select("data_id", "content_type", "extracted_text"), "data_id")
 
 
+def extract_unanalyzed(files: DataFrame, processed_data: DataFrame, analytics_results: DataFrame,
+                       batch_size: int | None = None) -> DataFrame:
+    """Texts of processed files that have no analytics row yet.
+
+    Which documents are due is decided on keys alone; the texts come in last, in one join.
+    """
+    return with_texts(due_documents(files, processed_data, analytics_results, batch_size), processed_data)
+
+
 def etl_transform(docs: DataFrame, mode: str = "literal") -> DataFrame:
     """Quality checks, analytics and features of every document with a text."""
     text = "extracted_text"
@@ -82,30 +92,34 @@ def document_features(transformed: DataFrame) -> DataFrame:
 
 
 def etl_run(store: TableStore, batch_size: int | None = None, as_of: Column | None = None,
-            docs: DataFrame | None = None) -> int:
+            processed_data: DataFrame | None = None) -> int:
     """Analyse what has no analytics yet and append the results; returns the document count.
 
     The metrics go first and the analytics last. Since extraction looks at the analytics,
     a run that dies in between is simply run again: ids depend on the document only, so
     metrics that were already written are recognised and not written twice.
+
+    The steps are written, not cached: appending to a table makes Spark refresh every cached
+    frame that reads it, and these read the analytics they are about to extend. It also
+    tells the planner how many documents are due, so that a small batch is broadcast to the
+    scan of the texts and only a large one shuffles them.
     """
-    if docs is None:
-        docs = extract_unanalyzed(
-            store.read("files"), store.read("processed_data"), store.read("analytics_results"), batch_size
-        )
-    # Written, not cached: appending to a table makes Spark refresh every cached frame that
-    # reads it, and this one reads the analytics it is about to extend.
-    transformed = written(etl_transform(docs), "etl")
+    texts = store.read("processed_data") if processed_data is None else processed_data
+    due = written(due_documents(store.read("files"), texts, store.read("analytics_results"), batch_size), "due")
+    parts = [due]
     try:
-        count = transformed.count()
-        if count:
-            # Only metrics of this batch's files can repeat; a small batch finds them unshuffled.
-            known = (
-                store.read("data_quality_metrics").select("metric_id", "file_id")
-                .join(transformed.select("file_id"), "file_id", "left_semi").select("metric_id")
-            )
-            store.append("data_quality_metrics", quality_rows(transformed, as_of).join(known, "metric_id", "left_anti"))
-            store.append("analytics_results", analytics_rows(transformed, as_of))
-        return count
+        if due.isEmpty():
+            return 0
+        transformed = written(etl_transform(with_texts(due, texts)), "etl")
+        parts.append(transformed)
+        # Only metrics of this batch's files can repeat; a small batch finds them unshuffled.
+        known = (
+            store.read("data_quality_metrics").select("metric_id", "file_id")
+            .join(due.select("file_id"), "file_id", "left_semi").select("metric_id")
+        )
+        store.append("data_quality_metrics", quality_rows(transformed, as_of).join(known, "metric_id", "left_anti"))
+        store.append("analytics_results", analytics_rows(transformed, as_of))
+        return transformed.count()
     finally:
-        discard(transformed)
+        for part in parts:
+            discard(part)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as html_std
+from functools import reduce
 from html.entities import html5
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlparse
@@ -251,7 +252,9 @@ def crawl_many(sources: DataFrame, pages: DataFrame, max_depth: int | None = Non
 
     candidates = pages.select("page_id", "url", "html")
     if not follow_external:
+        # Written, so the planner sees how small it is and broadcasts it to the page scan.
         hosts = config.select(F.explode(F.array_union("allowed", F.array(base_host))).alias("_host")).distinct()
+        hosts = written(hosts, "hosts")
         candidates = candidates.withColumn("_host", U.url_host("url")).join(hosts, "_host", "left_semi").drop("_host")
     # Parsed once; the levels below read only the narrow link table made from it.
     parsed = written(parse_pages(candidates), "pages")
@@ -269,11 +272,13 @@ def crawl_many(sources: DataFrame, pages: DataFrame, max_depth: int | None = Non
         "source_name", "max_pages", "allowed", F.lit(0).cast("long").alias("done"),
         F.col("base_url").alias("url"), F.lit(0).cast("long").alias("parent_rank"), F.lit(0).alias("pos"),
     )
-    seen = None if visited is None else visited.select("source_name", "url")
-    levels: list[DataFrame] = []
-    while max_depth is None or len(levels) <= max_depth:
-        if seen is not None:
-            frontier = frontier.join(seen, ["source_name", "url"], "left_anti")
+    columns = ["source_name", "crawl_rank", "depth", "url", "page_id"]
+    found: list[DataFrame] = []
+    depth = 0
+    while max_depth is None or depth <= max_depth:
+        seen = [f.select("source_name", "url") for f in found + ([] if visited is None else [visited])]
+        if seen:
+            frontier = frontier.join(reduce(DataFrame.unionAll, seen), ["source_name", "url"], "left_anti")
         # Written first, so its size is known when the join is planned: a small frontier is
         # broadcast to the link table, which then is not shuffled at every level.
         frontier = written(frontier.withColumn("fetch_url", U.without_fragment("url")), "frontier")
@@ -282,18 +287,19 @@ def crawl_many(sources: DataFrame, pages: DataFrame, max_depth: int | None = Non
             .withColumn("_n", F.row_number().over(queue)).where(F.col("_n") <= top)
             .withColumn("crawl_rank", F.col("_n") + F.col("done"))
             .where(F.col("crawl_rank") <= F.col("max_pages"))
-            .select("source_name", "max_pages", "allowed", "url", "page_id", "targets", "crawl_rank",
-                    F.lit(len(levels)).alias("depth")),
+            # A source has as many pages so far as the highest rank of its newest level.
+            .withColumn("done", F.max("crawl_rank").over(Window.partitionBy("source_name")))
+            .select("source_name", "max_pages", "allowed", "url", "page_id", "targets", "crawl_rank", "done",
+                    F.lit(depth).alias("depth")),
             "level",
         )
         if level.isEmpty():
             break
-        levels.append(level)
-        fetched = level.select("source_name", "url")
-        seen = fetched if seen is None else seen.unionAll(fetched)
-        # A source has as many pages so far as the highest rank of its newest level.
-        done = level.groupBy("source_name").agg(F.max("crawl_rank").alias("done"))
-        links = level.join(done, "source_name").where(F.col("done") < F.col("max_pages")).select(
+        depth += 1
+        found.append(level.select(*columns))
+        if len(found) == 16:  # a deep crawl does not pile up one scan per level
+            found = [written(reduce(DataFrame.unionAll, found), "found")]
+        links = level.where(F.col("done") < F.col("max_pages")).select(
             "source_name", "max_pages", "allowed", "done", "crawl_rank", F.posexplode("targets").alias("pos", "url")
         )
         if not follow_external:
@@ -303,10 +309,10 @@ def crawl_many(sources: DataFrame, pages: DataFrame, max_depth: int | None = Non
             *[F.any_value(c).alias(c) for c in ("max_pages", "allowed", "done")],
         ).select("source_name", "url", "max_pages", "allowed", "done", "first.*")
 
-    columns = ["source_name", "crawl_rank", "depth", "url", "page_id"]
-    crawled = spark.createDataFrame([], "source_name string, crawl_rank long, depth int, url string, page_id long")
-    for level in levels:
-        crawled = crawled.unionByName(level.select(*columns))
+    # The pages found are written tables of known size, broadcast to the parsed pages while small.
+    crawled = reduce(DataFrame.unionAll, found) if found else spark.createDataFrame(
+        [], "source_name string, crawl_rank long, depth int, url string, page_id long"
+    )
     details = parsed.select(
         "page_id", "title", "content", "content_type", "word_count", "char_count",
         "internal_links", "external_links", "crawled_at",

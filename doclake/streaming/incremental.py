@@ -24,8 +24,7 @@ def incremental_etl(store: TableStore, checkpoint: str, as_of: Column | None = N
     arriving = reader.parquet(store.path("processed_data"))
 
     def analyse(batch, batch_id: int) -> None:
-        docs = etl.extract_unanalyzed(store.read("files"), batch, store.read("analytics_results"))
-        etl.etl_run(store, docs=docs, as_of=as_of)
+        etl.etl_run(store, processed_data=batch, as_of=as_of)
 
     writer = arriving.writeStream.foreachBatch(analyse).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer

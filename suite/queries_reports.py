@@ -94,7 +94,8 @@ def _(t):
 
 @query("batch_limit", """
 SELECT p.data_id FROM files f JOIN processed_data p ON f.file_id = p.file_id
-WHERE f.processed AND NOT EXISTS (SELECT 1 FROM analytics_results a WHERE a.data_id = p.data_id)
+WHERE f.processed AND p.extracted_text IS NOT NULL
+ AND NOT EXISTS (SELECT 1 FROM analytics_results a WHERE a.data_id = p.data_id)
 ORDER BY p.data_id LIMIT 100""")
 def _(t):
     return etl.extract_unanalyzed(t.files, t.processed_data, t.analytics_results, batch_size=100).select("data_id")

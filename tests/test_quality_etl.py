@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from doclake import schema
 from doclake.operators import etl, quality as Q
 from doclake.plans import reporting as R
+from doclake.session import discard, written
 from doclake.sources.tables import TableStore, create_catalog_tables, mark_processed, reset_processed
 from doclake.streaming.incremental import incremental_etl
 
@@ -119,6 +120,13 @@ def test_extract_plan(store):
     assert "PushedFilters: [IsNotNull(processed), EqualTo(processed,true)" in plan
 
 
+def test_a_small_batch_leaves_the_texts_unshuffled(store):
+    due = written(etl.due_documents(store.read("files"), store.read("processed_data"), store.read("analytics_results")), "due")
+    plan = etl.with_texts(due, store.read("processed_data"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    discard(due)
+
+
 def test_incremental(store, folder):
     def run():
         incremental_etl(store, folder + "/checkpoint").awaitTermination()

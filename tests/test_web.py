@@ -152,3 +152,11 @@ def test_store_pages(spark, site):
     assert files.count() == processed.count() == len(GRAPH)
     row = files.join(processed, "file_id").where("filename like 'webpage_%' and extracted_text = 'plain'").first()
     assert row["source_type"] == "web_crawl" and row["content_type"] == "web_page" and bytes(row["content"]) == b"plain"
+
+
+def test_deep_crawl(spark):
+    """A chain longer than the number of levels that are kept apart."""
+    n = 20
+    chain = pages_of(spark, [(f"http://c/{i}", a(f"/{i + 1}", f"/{i - 1}")) for i in range(n)])
+    rows = W.crawl_website(chain, "http://c/0", max_pages=19).orderBy("crawl_rank").collect()
+    assert [(r["url"], r["depth"], r["crawl_rank"]) for r in rows] == [(f"http://c/{i}", i, i + 1) for i in range(n - 1)]
