@@ -21,9 +21,6 @@ def due_documents(files: DataFrame, processed_data: DataFrame, analytics_results
                   batch_size: int | None = None) -> DataFrame:
     """Keys and file attributes of processed files' texts that have no analytics row yet."""
     columns = [c for c in ("file_id", "filename", "file_type", "metadata") if c in files.columns]
-    if batch_size is not None:
-        # Texts that are NULL are never analysed; a batch of nothing else would block all later ones.
-        processed_data = processed_data.where(F.col("extracted_text").isNotNull())
     pending = processed_data.select("data_id", "file_id").join(
         analytics_results.select("data_id"), "data_id", "left_anti"
     )
@@ -105,6 +102,9 @@ def etl_run(store: TableStore, batch_size: int | None = None, as_of: Column | No
     scan of the texts and only a large one shuffles them.
     """
     texts = store.read("processed_data") if processed_data is None else processed_data
+    if batch_size is not None:
+        # NULL texts are never analysed; a batch of nothing else would block all later ones.
+        texts = texts.where(F.col("extracted_text").isNotNull())
     due = written(due_documents(store.read("files"), texts, store.read("analytics_results"), batch_size), "due")
     parts = [due]
     try:

@@ -113,6 +113,13 @@ def test_etl_batches(store):
     assert sum(done) == 38 and max(done) <= 15
 
 
+def test_null_texts_do_not_block_batches(store):
+    rows = [(f"a{i}", f"f{i}", "text", None) for i in range(10)]
+    store.append("processed_data", store.spark.createDataFrame(
+        rows, "data_id string, file_id string, content_type string, extracted_text string"))
+    assert etl.etl_run(store, batch_size=5) == 5
+
+
 def test_extract_plan(store):
     df = etl.extract_unanalyzed(store.read("files"), store.read("processed_data"), store.read("analytics_results"))
     plan = etl.etl_transform(df)._jdf.queryExecution().executedPlan().toString()
