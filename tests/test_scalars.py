@@ -1,7 +1,6 @@
 import datetime as dt
 import json
 import os
-import re
 
 from pyspark.sql import functions as F
 
@@ -27,7 +26,7 @@ def test_category_and_support(spark):
 
 def test_clean_filename(spark):
     names = ['a<b>:c"/\\|?*.txt', "__x__", " . a_b . ", "___", "plain"]
-    want = [re.sub("_+", "_", re.sub(r'[<>:"/\\|?*]', "_", n)).strip("_. ") for n in names]
+    want = ["a_b_c_.txt", "x", "a_b", "", "plain"]
     assert column(spark, names, "string", SC.clean_filename) == want
 
 
@@ -45,8 +44,7 @@ def test_format_file_size(spark):
 
 def test_email(spark):
     mails = ["a@b.co", "a.b+c@d-e.org", "a@b", "@b.co", "a b@c.de", "a@b.c", "x@y.zz9"]
-    want = [bool(re.match(r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$", m)) for m in mails]
-    assert column(spark, mails, "string", SC.validate_email) == want
+    assert column(spark, mails, "string", SC.validate_email) == [True, True, False, False, False, False, False]
 
 
 def test_ids_and_hash(spark):

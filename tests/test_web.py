@@ -1,3 +1,5 @@
+import re
+from collections import deque
 from urllib.parse import urljoin, urlparse
 
 import pytest
@@ -89,21 +91,19 @@ GRAPH = {
 
 def queue_crawl(base, max_pages, allowed=None, seen=()):
     """First-in first-out crawl over GRAPH, one page at a time."""
-    allowed = allowed or [urlparse(base).netloc]
-    queue, seen, found = [base], set(seen), []
-    while queue and len(found) < max_pages:
-        url = queue.pop(0)
-        html = GRAPH.get(url.split("#")[0])
-        if url in seen or html is None:
-            continue
-        seen.add(url)
-        found.append(url)
-        for part in html.split('href="')[1:]:
-            target = urljoin(url, part.split('"')[0])
-            u = urlparse(target)
-            if u.scheme in ("http", "https") and u.netloc in allowed and not u.path.endswith(".pdf"):
-                queue.append(target)
-    return found
+    hosts = set(allowed or [urlparse(base).netloc])
+
+    def followed(url):
+        targets = (urljoin(url, h) for h in re.findall('href="([^"]*)"', GRAPH[url.split("#")[0]]))
+        return [t for t in targets if t.startswith("http") and urlparse(t).netloc in hosts and not t.endswith(".pdf")]
+
+    waiting, found = deque([base]), {}
+    while waiting:
+        url = waiting.popleft()
+        if len(found) < max_pages and url not in found and url not in seen and url.split("#")[0] in GRAPH:
+            found[url] = True
+            waiting += followed(url)
+    return list(found)
 
 
 @pytest.fixture(scope="module")
