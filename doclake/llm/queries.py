@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from doclake.llm import (
-    bagminhash, bilinear, decontaminate, host_rules, huffman, packing, passages, site_lines, slots,
+    bagminhash, bilinear, decontaminate, host_rules, huffman, packing, passages, site_lines, slots, warc,
 )
 from doclake.llm.common import ID, ROW, table
 
@@ -123,3 +123,16 @@ def op3_attention_mil(spark, sf_dir):
 @query("op7_log_bilinear")
 def op7_log_bilinear(spark, sf_dir):
     return bilinear.score(table(spark, sf_dir, "documents"))
+
+
+@query("op5_capture_index", """WITH sized AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+firsts AS (SELECT payload, min(page_id) AS first_id FROM sized GROUP BY payload)
+SELECT page_id, octet_length(s.payload) AS payload_bytes, (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + CAST(list_reduce(list_transform(range(0, 5), lambda b: CAST(substr(bits, 5 * k + b + 1, 1) AS INT)), lambda x, y: 2 * x + y) AS INT), 1), '' ORDER BY k)
+  FROM (SELECT unnest(range(0, 32)) AS k)) AS payload_digest,
+ CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM (SELECT *, list_reduce(list_transform(string_split(regexp_replace(sha1(payload), '(.)', '\\1 ', 'g'), ' ')[1:40],
+  lambda h: right('0000' || bin(CAST(('0x' || h) AS INT)), 4)), lambda x, y: x || y) AS bits FROM sized) s JOIN firsts USING (payload)""")
+def op5_capture_index(spark, sf_dir):
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))

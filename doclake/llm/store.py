@@ -25,7 +25,7 @@ def open_new(folder: str, suffix: str):
     system, path = fs.FileSystem.from_uri(folder)
     system.create_dir(path, recursive=True)
     name = f"{uuid.uuid4().hex}{suffix}"
-    return f"{folder}/{name}", system.open_output_stream(f"{path}/{name}")
+    return f"{folder}/{name}", system.open_output_stream(f"{path}/{name}", compression=None)
 
 
 def open_old(uri: str):
