@@ -9,11 +9,10 @@ their weighted Jaccard similarity. Points later than the last register's minimum
 matter, so only the early part of each process is generated.
 
 Texts with the same words are one node. Nodes that agree in a band of registers share a
-bucket. Within a bucket nodes are compared with one leader, chosen anew each round; pairs
-already in one class are left out. When a round finds nothing more, nodes of a bucket that
-are still in different classes are compared pair by pair, so no link between members of a
-bucket is lost. All comparisons are exact overlaps of the bags. Classes are the connected
-components of the links.
+bucket. Within a bucket all nodes are compared with the one that has most bucket mates. Nodes
+of a bucket that are still in different classes are searched by an exact prefix filter, so no
+link between members of a bucket is lost. All comparisons are exact overlaps of the bags. Classes are the connected components of
+the links.
 
 Defined cases: a text of one to four words is one shingle; null texts and texts without words
 resemble nothing, each is its own class; null ids count as the last of a class; repeated rows
@@ -23,8 +22,6 @@ are copies of each other; an empty table gives an empty result. Extra columns ar
 
 from __future__ import annotations
 
-from itertools import count
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -35,6 +32,7 @@ from doclake.session import discard
 
 BANDS, ROWS = 24, 5
 SIZE = BANDS * ROWS
+BROADCAST_ROWS = 1_000_000  # node numbers, 8 bytes each
 _STEP = np.uint64(0xD1342543DE82EF95)
 _WRAP = (1 << 64) - 1
 
@@ -75,7 +73,9 @@ def signatures(value: np.ndarray, doc: np.ndarray, weight: np.ndarray, n_docs: i
 
 def _points(out, seed, owner, length, reach, until, size) -> None:
     time = np.zeros(len(seed))
-    for j in count(1):
+    j = 0
+    while True:
+        j += 1
         draw = words.mix(seed + np.uint64(j * int(_STEP) & _WRAP))
         time = time - np.log(((draw >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53) / length
         alive = np.flatnonzero(time <= until)
@@ -135,6 +135,9 @@ def elements(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(offsets, pa.array(whole, pa.int64()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, len(texts)), lists], ["node", "bag"])
 
+    nodes = written(nodes, "nodes")
+    if nodes.count() <= BROADCAST_ROWS:
+        nodes = F.broadcast(nodes)
     rows = numbered(docs).select(F.col(ID).alias("node"), F.col(text).alias("text")).join(nodes, "node", "left_semi")
     return written(rows.mapInArrow(run, "node long, bag array<long>"), "bags")
 
@@ -149,16 +152,20 @@ def similar(pairs: DataFrame, bag: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Smallest node of each node's connected component: node, label. Written."""
-    ends = written(links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(
-        links.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct(), "link-ends")
+    """Smallest node of each node's connected component: node, label. Written.
+
+    Each round a node takes the smallest label among its neighbours and its label's own label.
+    """
+    ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(
+        links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    ends = written(ends, "link-ends")
     labels = written(ends.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "labels")
     while True:
         theirs = labels.select(F.col("node").alias("other"), F.col("label").alias("theirs"))
-        seen = ends.join(theirs, "other").select("node", F.col("theirs").alias("label"))
-        jump = labels.select("node", F.col("label").alias("other")).join(theirs, "other").select("node", F.col("theirs").alias("label"))
-        best = seen.unionAll(jump).groupBy("node").agg(F.min("label").alias("label"))
-        new = written(best.join(labels.withColumnRenamed("label", "old"), "node"), "labels")
+        asked = ends.unionAll(labels.select("node", F.col("label").alias("other")))
+        seen = asked.join(theirs, "other").select("node", F.col("theirs").alias("label"), F.lit(None).cast("long").alias("old"))
+        own = labels.select("node", "label", F.col("label").alias("old"))
+        new = written(seen.unionAll(own).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old")), "labels")
         changed = not new.where("label < old").isEmpty()
         discard(labels)
         labels = new.select("node", "label")
@@ -168,11 +175,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members (bucket, node, label) of the buckets whose nodes are in more than one class."""
+    """Members (bucket, node, rank, label) of the buckets whose nodes are in more than one class."""
     if labels is None:
         named = buckets.withColumn("label", F.col("node"))
     else:
-        named = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+        named = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     return written(named.join(mixed.select("bucket"), "bucket", "left_semi"), "open-buckets")
 
@@ -181,27 +188,59 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """Members (bucket, node, rank) of buckets of two nodes or more. The rank is the number of
+    bucket mates of a node: the middle of a group of near copies has most. Written."""
+    spread = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("mates")).where("mates > 1")
+    members = written(spread.join(shared, "bucket"), "shared-buckets")
+    ranks = members.groupBy("node").agg(F.sum("mates").alias("rank"))
+    return written(members.join(ranks, "node").select("bucket", "node", "rank"), "buckets")
+
+
+def _rest(open_: DataFrame, bag: DataFrame, percent: int) -> DataFrame:
+    """All pairs (x, y) of nodes in different classes that can still be similar.
+
+    An exact prefix filter: bags are put in one order, rarest elements first. If two bags
+    overlap by ``percent`` of their union, the shorter one's first n - ceil(2p/(100+p) n) + 1
+    elements and the longer one's first n - ceil(p/100 n) + 1 have one in common. Elements
+    that no other bag has cannot be in an overlap, which bounds it from above. One side of a
+    pair is outside the largest class of some bucket.
+    """
+    classes_ = open_.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = classes_.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+    minor = open_.join(largest, "bucket").groupBy("node", "label").agg(F.max(F.col("label") != F.col("largest")).alias("minor"))
+    elements_ = bag.join(minor, "node").select("node", "label", "minor", F.size("bag").alias("n"), F.explode("bag").alias("element"))
+    common = elements_.groupBy("element").agg(F.count(F.lit(1)).alias("seen"))
+    order = elements_.join(common, "element").groupBy("node", "label", "minor", "n").agg(
+        F.sum((F.col("seen") == 1).cast("int")).alias("alone"), F.sort_array(F.collect_list(F.struct("seen", "element"))).alias("order"))
+    least = lambda share: (F.col("n") - F.ceil(F.col("n") * share) + 1).cast("int")
+    order = order.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))
+    prefix = order.select("node", "label", "minor", "n", (F.col("n") - F.col("alone")).alias("most"),
+                          least(2 * percent / (100 + percent)).alias("short"), F.posexplode(F.slice("order", 1, least(percent / 100))).alias("at", "e"))
+    prefix = written(prefix.where("e.seen > 1").withColumn("element", F.col("e.element")).drop("e"), "prefixes")
+    x, y = (prefix.select("element", F.struct("n", "node").alias(s), F.struct("label", "minor", "most", "short", "at").alias(f"{s}_")) for s in "xy")
+    # Where this is the first element in common, all others come after it in both bags.
+    overlap = F.least("x_.most", "y_.most", F.col("x.n") - F.col("x_.at"), F.col("y.n") - F.col("y_.at"))
+    close = (F.col("x") < F.col("y")) & (100 * F.col("x.n") >= percent * F.col("y.n")) & (
+        (100 + percent) * overlap >= percent * (F.col("x.n") + F.col("y.n")))
+    wanted = (F.col("x_.at") < F.col("x_.short")) & (F.col("x_.label") != F.col("y_.label")) & (F.col("x_.minor") | F.col("y_.minor"))
+    return x.where("x_.at < x_.short").join(y, "element").where(close & wanted).select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))
+
+
 def links_of(docs: DataFrame, nodes: DataFrame, text: str, percent: int) -> DataFrame | None:
     """Labels of all nodes that have a link; None if there is none. ``nodes`` has node and bands."""
-    spread = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    buckets = written(spread.join(shared, "bucket", "left_semi"), "buckets")
+    buckets = _buckets(nodes)
     bag = elements(docs, buckets.select("node").distinct(), text)
     labels = tested = links = None
-    for step in count():
-        open_ = _labelled(buckets, labels)
-        order = F.xxhash64("node", F.lit(step))
-        leaders = open_.groupBy("bucket").agg(F.min_by(F.struct("node", "label"), order).alias("lead"))
-        found = open_.join(leaders, "bucket").where("label != lead.label").select(F.col("lead.node").alias("x"), F.col("node").alias("y"))
-        new = _test(_ordered(found), tested, bag, percent)
-        tested, links, labels, more = _joined(tested, links, labels, new)
-        if not more:
-            break
-    rest = _labelled(buckets, labels)
-    other = rest.select("bucket", F.col("node").alias("y"), F.col("label").alias("label_y"))
-    pairs = rest.withColumnRenamed("node", "x").join(other, "bucket").where("label < label_y").select("x", "y")
-    new = _test(_ordered(pairs), tested, bag, percent)
-    return _joined(tested, links, labels, new)[2]
+    open_ = _labelled(buckets, labels)
+    lead = open_.groupBy("bucket").agg(F.max_by("node", F.struct("rank", "node")).alias("x"))
+    found = open_.join(lead, "bucket").where("node != x").select("x", F.col("node").alias("y"))
+    tested, links, labels = _joined(tested, links, labels, _test(_ordered(found), tested, bag, percent))
+    open_ = _labelled(buckets, labels)
+    if open_.isEmpty():
+        return labels
+    return _joined(tested, links, labels, _test(_ordered(_rest(open_, bag, percent)), tested, bag, percent))[2]
 
 
 def _test(pairs: DataFrame, tested: DataFrame | None, bag: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -212,13 +251,13 @@ def _test(pairs: DataFrame, tested: DataFrame | None, bag: DataFrame, percent: i
 
 
 def _joined(tested, links, labels, new):
-    """Everything with a round's pairs and links added; whether the round found a link."""
+    """Everything with a round's pairs and links added."""
     pairs, found = new
     tested = pairs if tested is None else tested.unionAll(pairs)
     if found.isEmpty():
-        return tested, links, labels, False
+        return tested, links, labels
     links = found if links is None else links.unionAll(found)
-    return tested, links, components(links), True
+    return tested, links, components(links)
 
 
 def _classes(docs: DataFrame, text: str, doc_id: str, percent: int) -> DataFrame:
