@@ -140,7 +140,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, text: str = "text",
         for b in batches:
             found, bounds = with_end(*coder(vocabulary).encode(texts_of(b.column(1))), end_id)
             for i, (key, free) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                packer.add(Item(key, found[bounds[i] : bounds[i + 1]], free or 0))
+                packer.add(Item(key, found[bounds[i] : bounds[i + 1]].copy(), free or 0))  # a view would keep its batch
                 while len(packer.items) >= POOL or packer.waiting() >= POOL * m.max_tokens:
                     emit(packer.sequence(m.max_tokens))
                 if len(rows) >= 2000:

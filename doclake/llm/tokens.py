@@ -15,8 +15,8 @@ import numpy as np
 
 from doclake.llm import words
 
-MAX_WORDS = 1 << 21
-MAX_PIECES = 100_000
+MAX_WORDS = 1 << 20
+MAX_PIECES = 50_000
 # Words of ASCII and composed Latin-1 letters: their normal form is themselves in lower case.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 
