@@ -215,11 +215,23 @@ def count_words(texts: DataFrame) -> DataFrame:
     return written(texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
 
 
+def _least_count(counts: DataFrame, most: int = LOOKUP) -> int:
+    """The least count that at most ``most`` words reach, among powers of 2**(1/16)."""
+    step = F.floor(F.log2("n") * 16).alias("step")
+    sizes = {r["step"]: r["words"] for r in counts.groupBy(step).agg(F.count(F.lit(1)).alias("words")).collect()}  # some hundred rows
+    least, total = max(sizes, default=0) + 1, 0
+    for s in sorted(sizes, reverse=True):
+        if (total := total + sizes[s]) > most:
+            break
+        least = s
+    return math.ceil(2 ** (least / 16) - 1e-9)
+
+
 def build_vocabulary(counts: DataFrame) -> tuple[Vocabulary, int, int]:
     """The vocabulary, all tokens N and distinct tokens V of the training part."""
     real = counts.where(F.col("word").isNotNull())
     n_docs = (counts.where(F.col("word").isNull()).agg(F.sum("n")).first()[0]) or 0
-    top = [(bytes(r["word"]), r["n"]) for r in real.orderBy(F.desc("n"), "word").limit(LOOKUP).collect()]
+    top = sorted(((bytes(r["word"]), r["n"]) for r in real.where(F.col("n") >= _least_count(real)).collect()), key=lambda x: (-x[1], x[0]))
     vocabulary = Vocabulary(top, n_docs)
 
     def run(batches):
