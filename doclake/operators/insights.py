@@ -9,8 +9,8 @@ from doclake.functions import text as TX
 from doclake.operators import cluster, iforest, sentiment
 
 
-def ml_sample(processed_data: DataFrame, limit: int | None = 1000, text: str = "extracted_text") -> DataFrame:
-    """Texts of more than 100 bytes with their counts; ``limit=None`` takes all of them."""
+def ml_sample(processed_data: DataFrame, limit: int | None = None, text: str = "extracted_text") -> DataFrame:
+    """Texts of more than 100 bytes with their counts; all of them unless ``limit`` is given."""
     rows = TX.filter_min_bytes(processed_data, text).select(
         "data_id", text, TX.word_count(text).alias("word_count"), TX.char_count(text).alias("char_count")
     )

@@ -261,8 +261,8 @@ def crawl_many(sources: DataFrame, pages: DataFrame, max_depth: int | None = Non
     node = F.struct("page_id", "parse_status", _page_targets(F.coalesce("links", F.array())).alias("targets"))
     nodes = written(
         parsed.select(U.without_fragment("url").alias("fetch_url"), "page_id", node.alias("n"))
+        .where(F.col("n.parse_status") == "ok")  # a broken copy must not hide a good one
         .groupBy("fetch_url").agg(F.min_by("n", "page_id").alias("n"))
-        .where(F.col("n.parse_status") == "ok")
         .select("fetch_url", "n.page_id", "n.targets"),
         "links",
     )

@@ -12,20 +12,25 @@ from doclake.sources.tables import TableStore
 
 def incremental_etl(store: TableStore, checkpoint: str, as_of: Column | None = None,
                     files_per_batch: int | None = None, available_now: bool = True) -> StreamingQuery:
-    """Stream ``processed_data`` into the analytics tables.
+    """Keep the analytics tables up to date as ``processed_data`` and ``files`` grow.
 
-    The stream remembers which files it has read. Each batch still passes the anti-join
-    against the analytics, so a batch that is replayed after a failure adds nothing twice.
+    Arriving rows of either table start a batch. What is due is then decided on the keys of
+    the whole store, not of the batch: a text that came before its file's row, or whose file is
+    marked processed later, is analysed by the batch of that row. A batch that is replayed
+    after a failure adds nothing twice. Each batch reads all keys, but only the texts due.
     """
     spark = store.spark
-    reader = spark.readStream.schema(schema.PROCESSED_DATA)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    arriving = reader.parquet(store.path("processed_data"))
+
+    def arriving(table: str, kind):
+        reader = spark.readStream.schema(kind)
+        if files_per_batch:
+            reader = reader.option("maxFilesPerTrigger", files_per_batch)
+        return reader.parquet(store.path(table)).select("file_id")
 
     def analyse(batch, batch_id: int) -> None:
-        etl.etl_run(store, processed_data=batch, as_of=as_of)
+        etl.etl_run(store, as_of=as_of)
 
-    writer = arriving.writeStream.foreachBatch(analyse).option("checkpointLocation", checkpoint)
+    rows = arriving("processed_data", schema.PROCESSED_DATA).unionAll(arriving("files", schema.FILES))
+    writer = rows.writeStream.foreachBatch(analyse).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()

@@ -19,9 +19,9 @@ def docs(t: Tables):
 
 @query("tfidf", f"""WITH {TOKENS}, terms AS (SELECT unnest(list_distinct(w)) AS term FROM toks)
 SELECT term, count(*) AS df, round(ln((1 + (SELECT count(*) FROM toks)) / (1 + count(*))) + 1, 6) AS idf
-FROM terms GROUP BY term HAVING count(*) >= 5""")
+FROM terms GROUP BY term""")
 def _(t):
-    return rounded(tfidf.term_idf(docs(t), min_df=5, stop_words=STOP), "idf")
+    return rounded(tfidf.term_idf(docs(t), min_df=1, stop_words=STOP), "idf")
 
 
 VOCABULARY = """vocab AS (SELECT term, count(*) AS count FROM (SELECT unnest(w) AS term FROM toks) GROUP BY term
@@ -104,7 +104,7 @@ def _(t):
     clusters, topics = found["clustering"].assignments, found["topic_modeling"].assignments
     return (
         clusters.withColumnRenamed("prediction", "cluster")
-        .join(topics.withColumnRenamed("prediction", "topic"), "data_id", "left")
-        .join(found["sentiment_analysis"].predictions, "data_id", "left")
-        .join(found["anomaly_detection"].select("data_id", "anomaly"), "data_id", "left")
+        .join(topics.withColumnRenamed("prediction", "topic"), "data_id", "full")
+        .join(found["sentiment_analysis"].predictions, "data_id", "full")
+        .join(found["anomaly_detection"].select("data_id", "anomaly"), "data_id", "full")
     )

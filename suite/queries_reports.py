@@ -266,7 +266,7 @@ def _(t):
 
 @query("ml_sample", """
 SELECT data_id, CAST(length(extracted_text) AS INT) AS char_count FROM processed_data
-WHERE strlen(extracted_text) > 100 ORDER BY data_id LIMIT 1000""")
+WHERE strlen(extracted_text) > 100""")
 def _(t):
     return insights.ml_sample(t.processed_data).select("data_id", "char_count")
 

@@ -171,3 +171,27 @@ def test_reports(spark, store):
     assert R.quality_score_overall(store.read("data_quality_metrics").where("false")).first()["quality_score"] == 0.0
     nested = {r[0]: r[1] for r in R.quality_overview_nested(store.read("data_quality_metrics")).collect()}
     assert nested["accuracy"] == {"good": 38}
+
+
+def test_incremental_waits_for_the_file(store, folder):
+    """A text that a run sees before its file's row, or before the file is marked processed, is not lost."""
+    spark, read = store.spark, store.read("files")
+
+    def files(file_id, done):
+        rows = spark.createDataFrame([(file_id, done)], "file_id string, processed boolean")
+        return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in read.dtypes])
+
+    def texts(data_id, file_id):
+        rows = spark.createDataFrame([(data_id, file_id, "A text of some words.")], "data_id string, file_id string, extracted_text string")
+        return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in store.read("processed_data").dtypes])
+
+    def run():
+        before = store.read("analytics_results").count()
+        incremental_etl(store, folder + "/late").awaitTermination()
+        return store.read("analytics_results").count() - before
+
+    run()
+    store.append("processed_data", texts("late1", "latefile1"))
+    assert run() == 0
+    store.append("files", files("latefile1", True))
+    assert run() == 1 and run() == 0
