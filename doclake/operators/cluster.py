@@ -11,6 +11,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from doclake.operators import tfidf
+from doclake.session import written
 
 
 @dataclass
@@ -54,12 +55,14 @@ def silhouette(predictions: DataFrame) -> float:
 
 def text_clustering(df: DataFrame, n_clusters: int = 5, max_features: int = 1000, n_terms: int = 10,
                     text: str = "extracted_text", key: str = "data_id", seed: int = 42,
-                    stop_words: list[str] | None = None, score: bool = True) -> Clustering:
+                    stop_words: list[str] | None = None, score: bool = True,
+                    statistics: DataFrame | None = None) -> Clustering:
+    """K-means over the texts. They are read twice: for the vocabulary (not if ``statistics``
+    are given) and for the vectors; iterations, score and assignments read the written vectors."""
     spark = df.sparkSession
-    vectorizer = tfidf.fit_tfidf(df, text, max_features, stop_words)
-    # The iterations and the evaluator read the vectors again and again, never the texts.
-    vectors = tfidf.vectorize(vectorizer, df.select(key, text), text).select(key, "features")
-    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    vectorizer = tfidf.fit_tfidf(df, text, max_features, stop_words, statistics=statistics)
+    table = written(tfidf.vectorize(vectorizer, df.select(key, text), text).select(key, "features"), "vectors")
+    vectors = table.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         kmeans = KMeans(k=n_clusters, seed=seed, featuresCol="features", predictionCol="prediction").fit(vectors)
         value = None
@@ -73,7 +76,7 @@ def text_clustering(df: DataFrame, n_clusters: int = 5, max_features: int = 1000
     return Clustering(
         model=model,
         n_clusters=n_clusters,
-        assignments=model.transform(df.select(key, text).where(F.col(text).isNotNull())).select(key, "prediction"),
+        assignments=kmeans.transform(table).select(key, "prediction"),
         silhouette=spark.createDataFrame([(value,)], "silhouette_sq double"),
         top_terms=top_terms(spark, model, n_terms),
         model_info=f"KMeans with {n_clusters} clusters",
@@ -81,8 +84,9 @@ def text_clustering(df: DataFrame, n_clusters: int = 5, max_features: int = 1000
 
 
 def topic_modeling(df: DataFrame, n_topics: int = 5, text: str = "extracted_text", key: str = "data_id",
-                   seed: int = 42, stop_words: list[str] | None = None) -> Clustering:
+                   seed: int = 42, stop_words: list[str] | None = None,
+                   statistics: DataFrame | None = None) -> Clustering:
     """Topics are clusters over a vocabulary of 500 terms, described by 15 terms each."""
-    result = text_clustering(df, n_topics, 500, 15, text, key, seed, stop_words, score=False)
+    result = text_clustering(df, n_topics, 500, 15, text, key, seed, stop_words, score=False, statistics=statistics)
     result.model_info = f"Topic modeling with {n_topics} topics"
     return result

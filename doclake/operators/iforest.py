@@ -19,6 +19,7 @@ from doclake.functions.text import ML_FEATURES
 from doclake.operators.quantile import exact_quantile
 from doclake.session import written
 
+MAX_NODES = 2_000_000  # 48 bytes each: what scoring sends to every task stays below 100 MB
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, path double"
 
 
@@ -30,21 +31,23 @@ def expected_path(n: float) -> float:
 
 
 def sample_trees(rows: DataFrame, key: str, n_rows: int, n_trees: int, max_samples: int, seed: int) -> DataFrame:
-    """Rows with a ``tree`` column: up to ``max_samples`` rows, without replacement, per tree.
+    """Rows with a ``tree`` column: ``max_samples`` rows per tree (all, if there are fewer), drawn
+    without replacement and for each tree on its own.
 
-    About 1.5 times the wanted rows are picked by a hash of the key, so the choice does not
-    depend on partitioning and a retried task picks the same rows. While rows are scarce a
-    row serves a block of trees; once there are plenty it serves one.
+    A tree takes the rows with the smallest hashes of (key, tree). Rows above a cut are left
+    out before the shuffle; the cut lets eight standard deviations more than ``max_samples``
+    rows pass, so every tree is filled. The draw does not depend on partitioning, and a
+    retried task picks the same rows.
     """
-    wanted = 1.5 * n_trees * max_samples
-    trees_per_row = min(n_trees, math.ceil(wanted / n_rows))
-    share = min(1.0, wanted / (n_rows * trees_per_row))
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(2**31))
-    first = F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(n_trees))
-    picked = rows.where(draw <= int(share * 2**31)).select(
-        "*", F.explode(F.sequence(first, first + trees_per_row - 1)).alias("_t")
-    ).withColumn("tree", F.pmod("_t", F.lit(n_trees)).cast("int")).drop("_t")
-    order = Window.partitionBy("tree").orderBy(F.xxhash64(F.col(key), F.col("tree"), F.lit(seed + 2)), F.col(key))
+    share = min(1.0, (max_samples + 8 * math.sqrt(max_samples) + 32) / n_rows)
+    space = 1 << 40
+
+    def draw(tree):
+        return F.pmod(F.xxhash64(F.col(key), tree, F.lit(seed)), F.lit(space))
+
+    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: draw(t) < F.lit(int(share * space)))
+    picked = rows.select("*", F.explode(trees).alias("tree"))
+    order = Window.partitionBy("tree").orderBy(draw(F.col("tree")), F.col(key))
     return picked.withColumn("_order", F.row_number().over(order)).where(F.col("_order") <= max_samples)
 
 
@@ -84,6 +87,8 @@ class IsolationForest:
 
     def scores(self, df: DataFrame) -> DataFrame:
         """The frame with ``raw_score`` = -2^(-mean path / expected path); low is unusual."""
+        if len(self.nodes) > MAX_NODES:
+            raise ValueError(f"a forest of {len(self.nodes)} nodes is too large to send to every task (at most {MAX_NODES})")
         nodes = self.nodes.sort_values(["tree", "node"])
         starts = nodes.groupby("tree", sort=True).size().cumsum().shift(fill_value=0)
         base = nodes["tree"].map(starts).to_numpy()

@@ -6,7 +6,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from doclake.functions import text as TX
-from doclake.operators import cluster, iforest, sentiment
+from doclake.operators import cluster, iforest, sentiment, tfidf
+from doclake.session import written
 
 
 def ml_sample(processed_data: DataFrame, limit: int | None = None, text: str = "extracted_text") -> DataFrame:
@@ -24,8 +25,10 @@ def ml_insights(docs: DataFrame, text: str = "extracted_text", key: str = "data_
     counts = docs.agg(F.count_if(F.coalesce(is_valid, F.lit(False))).alias("valid"), F.count(text).alias("rows")).first()
     found: dict = {}
     if counts["valid"] >= 5:
-        found["clustering"] = cluster.text_clustering(valid, 3, text=text, key=key, seed=seed)
-        found["topic_modeling"] = cluster.topic_modeling(valid, 3, text=text, key=key, seed=seed)
+        # One pass over the texts serves both vocabularies.
+        terms = written(tfidf.term_statistics(valid, text), "terms")
+        found["clustering"] = cluster.text_clustering(valid, 3, text=text, key=key, seed=seed, statistics=terms)
+        found["topic_modeling"] = cluster.topic_modeling(valid, 3, text=text, key=key, seed=seed, statistics=terms)
         found["sentiment_analysis"] = sentiment.sentiment_analysis(valid, text=text, key=key)
     if counts["rows"] >= 10:
         forest, labelled = iforest.fit(TX.ml_features(docs, text, (key,)), key=key, seed=seed)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
 from pyspark import StorageLevel
+from pyspark.errors import PySparkException
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from doclake.functions import text as TX
 from doclake.operators import tfidf
+from doclake.session import written
 
 
 @dataclass
@@ -36,8 +39,9 @@ def _train(df, label, text, key, n_trees, max_depth, max_features, seed, stop_wo
     spark = df.sparkSession
     known = df.where(F.col(label).isNotNull()).select(key, text, F.col(label).cast("string").alias("_label"))
     vectorizer = tfidf.fit_tfidf(known, text, max_features, stop_words)
-    vectors = tfidf.vectorize(vectorizer, known, text).select(key, "_label", "features")
-    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    # Training and predictions read the vectors, not the texts again.
+    table = written(tfidf.vectorize(vectorizer, known, text).select(key, "_label", "features"), "vectors")
+    vectors = table.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         indexer = StringIndexer(inputCol="_label", outputCol="_index", stringOrderType="alphabetAsc").fit(vectors)
         forest = RandomForestClassifier(
@@ -51,7 +55,7 @@ def _train(df, label, text, key, n_trees, max_depth, max_features, seed, stop_wo
     importance = forest.featureImportances.toArray()
     rows = [(t, float(v)) for t, v in zip(tfidf.terms_of(vectorizer), importance)]
     kind = df.schema[label].dataType
-    predictions = model.transform(known).select(
+    predictions = back.transform(forest.transform(table)).select(
         key, F.col("prediction").cast(kind).alias("prediction"), vector_to_array("probability").alias("probability")
     )
     return Sentiment(
@@ -67,11 +71,12 @@ def sentiment_analysis(df: DataFrame, label: str | None = None, text: str = "ext
                        stop_words: list[str] | None = None) -> Sentiment:
     """Random forest on TF-IDF when ``label`` names a column; rules otherwise.
 
-    The rules also answer when training is impossible (no labelled row, no term left).
+    The rules also answer when training fails for any reason; ``model_info`` then names it.
     """
+    info = "Rule-based sentiment analysis"
     if label is not None:
         try:
             return _train(df, label, text, key, n_trees, max_depth, max_features, seed, stop_words)
-        except ValueError:  # no vocabulary, hence nothing to learn from
-            pass
-    return Sentiment(rule_based_sentiment(df, text, key), None, None, "Rule-based sentiment analysis")
+        except (ValueError, PySparkException, Py4JError) as e:
+            info = f"{info} (training failed: {str(e).splitlines()[0]})"
+    return Sentiment(rule_based_sentiment(df, text, key), None, None, info)

@@ -8,10 +8,11 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
     CountVectorizerModel, ElementwiseProduct, Normalizer, RegexTokenizer, StopWordsRemover,
 )
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, functions as F
 
+from doclake.session import written
+
 # Runs of at least two word characters (letters, numbers, underscore).
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
@@ -55,9 +56,14 @@ def term_statistics(df: DataFrame, text: str = "extracted_text", stop_words: lis
 
 def term_idf(df: DataFrame, text: str = "extracted_text", min_df: int = 1,
              stop_words: list[str] | None = None) -> DataFrame:
-    """term, df, idf over the whole vocabulary: idf = ln((1 + n) / (1 + df)) + 1."""
-    n = df.where(F.col(text).isNotNull()).agg(F.count("*")).scalar()
-    return term_statistics(df, text, stop_words).where((F.col("df") >= min_df) & (F.col("term") != "")).select(
+    """term, df, idf over the whole vocabulary: idf = ln((1 + n) / (1 + df)) + 1.
+
+    The statistics are written, because their row of the number of texts goes to all others:
+    the texts are read once, and the second look is at one row per term.
+    """
+    counts = written(term_statistics(df, text, stop_words), "terms")
+    n = counts.where("term = ''").agg(F.sum("tf")).scalar()
+    return counts.where((F.col("df") >= min_df) & (F.col("term") != "")).select(
         "term", "df", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf")
     )
 
@@ -70,11 +76,16 @@ def vocabulary(df: DataFrame, text: str = "extracted_text", max_features: int =
 
 
 def fit_tfidf(df: DataFrame, text: str = "extracted_text", max_features: int = 1000,
-              stop_words: list[str] | None = None, out: str = "features") -> PipelineModel:
-    """Fit vocabulary and idf in one pass; at most ``max_features`` + 1 rows reach the driver."""
+              stop_words: list[str] | None = None, out: str = "features",
+              statistics: DataFrame | None = None) -> PipelineModel:
+    """Fit vocabulary and idf in one pass; at most ``max_features`` + 1 rows reach the driver.
+
+    Pass ``statistics`` (of :func:`term_statistics` with the same stop words) to fit several
+    vocabularies from one pass.
+    """
     tokenizer, remover = _stages(text, stop_words)
     top = (
-        term_statistics(df, text, stop_words)
+        (term_statistics(df, text, stop_words) if statistics is None else statistics)
         .orderBy(F.desc(F.col("term") == ""), F.desc("tf"), "term").limit(max_features + 1).collect()
     )
     if len(top) < 2:
@@ -98,7 +109,7 @@ def terms_of(model: PipelineModel) -> list[str]:
 def tfidf_weights(model: PipelineModel, df: DataFrame, key: str = "data_id", text: str = "extracted_text") -> DataFrame:
     """The vectors in long form: key, term, weight (non-zero weights only)."""
     terms = F.array(*[F.lit(t) for t in terms_of(model)])
-    long = vectorize(model, df.select(key, text), text).select(
-        key, F.posexplode_outer(vector_to_array("features")).alias("i", "weight")
-    )
+    # The vectors are sparse: only the terms that a text holds are exploded.
+    sparse = vectorize(model, df.select(key, text), text).select(key, F.unwrap_udt("features").alias("v"))
+    long = sparse.select(key, F.inline_outer(F.arrays_zip("v.indices", "v.values")).alias("i", "weight"))
     return long.where("weight > 0").select(key, F.element_at(terms, F.col("i") + 1).alias("term"), "weight")

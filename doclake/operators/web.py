@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin, urlparse
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from doclake.functions import scalars as SC, text as TX, urls as U
 from doclake.session import written
@@ -239,8 +239,11 @@ def crawl_many(sources: DataFrame, pages: DataFrame, max_depth: int | None = Non
 
     One round of jobs per level. A level in queue order is the links of the level before,
     ordered by (rank of the linking page, position of the link), so ranking each level
-    gives the order of a first-in first-out queue. Ranking keeps at most ``max_pages`` rows
-    per source, already inside the map tasks; no source is gathered whole.
+    gives the order of a first-in first-out queue. A level is sorted into ranges of
+    (source, parent rank, position); a row's rank is its place in its range plus the rows of
+    its source in earlier ranges, so no source is one task's work, whatever ``max_pages`` is.
+
+    The walk reads links only. The texts of the pages it found are parsed at its end.
     """
     spark = pages.sparkSession
     base_host = U.url_host("base_url")
@@ -248,7 +251,6 @@ def crawl_many(sources: DataFrame, pages: DataFrame, max_depth: int | None = Non
         "source_name", "base_url", F.coalesce("max_pages", F.lit(50)).cast("long").alias("max_pages"),
         F.coalesce("allowed_domains", F.array(base_host)).alias("allowed"),
     )
-    top = config.agg(F.coalesce(F.max("max_pages"), F.lit(0))).first()[0]
 
     candidates = pages.select("page_id", "url", "html")
     if not follow_external:
@@ -256,18 +258,15 @@ def crawl_many(sources: DataFrame, pages: DataFrame, max_depth: int | None = Non
         hosts = config.select(F.explode(F.array_union("allowed", F.array(base_host))).alias("_host")).distinct()
         hosts = written(hosts, "hosts")
         candidates = candidates.withColumn("_host", U.url_host("url")).join(hosts, "_host", "left_semi").drop("_host")
-    # Parsed once; the levels below read only the narrow link table made from it.
-    parsed = written(parse_pages(candidates), "pages")
     node = F.struct("page_id", "parse_status", _page_targets(F.coalesce("links", F.array())).alias("targets"))
     nodes = written(
-        parsed.select(U.without_fragment("url").alias("fetch_url"), "page_id", node.alias("n"))
+        parse_pages(candidates).select(U.without_fragment("url").alias("fetch_url"), "page_id", node.alias("n"))
         .where(F.col("n.parse_status") == "ok")  # a broken copy must not hide a good one
         .groupBy("fetch_url").agg(F.min_by("n", "page_id").alias("n"))
         .select("fetch_url", "n.page_id", "n.targets"),
         "links",
     )
 
-    queue = Window.partitionBy("source_name").orderBy("parent_rank", "pos", "url")
     frontier = config.select(
         "source_name", "max_pages", "allowed", F.lit(0).cast("long").alias("done"),
         F.col("base_url").alias("url"), F.lit(0).cast("long").alias("parent_rank"), F.lit(0).alias("pos"),
@@ -283,14 +282,11 @@ def crawl_many(sources: DataFrame, pages: DataFrame, max_depth: int | None = Non
         # broadcast to the link table, which then is not shuffled at every level.
         frontier = written(frontier.withColumn("fetch_url", U.without_fragment("url")), "frontier")
         level = written(
-            frontier.join(nodes, "fetch_url")
-            .withColumn("_n", F.row_number().over(queue)).where(F.col("_n") <= top)
+            _ranked(frontier.join(nodes, "fetch_url"))
             .withColumn("crawl_rank", F.col("_n") + F.col("done"))
             .where(F.col("crawl_rank") <= F.col("max_pages"))
-            # A source has as many pages so far as the highest rank of its newest level.
-            .withColumn("done", F.max("crawl_rank").over(Window.partitionBy("source_name")))
-            .select("source_name", "max_pages", "allowed", "url", "page_id", "targets", "crawl_rank", "done",
-                    F.lit(depth).alias("depth")),
+            .select("source_name", "max_pages", "allowed", "url", "page_id", "targets", "crawl_rank",
+                    (F.col("done") + F.col("_total")).alias("done"), F.lit(depth).alias("depth")),
             "level",
         )
         if level.isEmpty():
@@ -309,17 +305,37 @@ def crawl_many(sources: DataFrame, pages: DataFrame, max_depth: int | None = Non
             *[F.any_value(c).alias(c) for c in ("max_pages", "allowed", "done")],
         ).select("source_name", "url", "max_pages", "allowed", "done", "first.*")
 
-    # The pages found are written tables of known size, broadcast to the parsed pages while small.
+    # The pages found are written tables of known size, broadcast to the scan of the pages while small.
     crawled = reduce(DataFrame.unionAll, found) if found else spark.createDataFrame(
         [], "source_name string, crawl_rank long, depth int, url string, page_id long"
     )
-    details = parsed.select(
+    found_pages = candidates.join(crawled.select("page_id"), "page_id", "left_semi")
+    details = parse_pages(found_pages).where("parse_status = 'ok'").select(
         "page_id", "title", "content", "content_type", "word_count", "char_count",
         "internal_links", "external_links", "crawled_at",
     )
     return crawled.join(details, "page_id").withColumn("file_id", page_file_id("url"))
 
 
+def _ranked(level: DataFrame) -> DataFrame:
+    """The level with ``_n``, a row's place from 1 in its source's queue, and ``_total``, the source's rows."""
+    ordered = written(
+        level.repartitionByRange("source_name", "parent_rank", "pos", "url")
+        .sortWithinPartitions("source_name", "parent_rank", "pos", "url")
+        .withColumn("_place", F.monotonically_increasing_id()),  # range in the high bits, place in it in the low ones
+        "ordered",
+    )
+    in_range = F.shiftright("_place", 33)
+    ranges = ordered.groupBy("source_name", in_range.alias("r")).agg(F.count("*").alias("n"), F.min("_place").alias("first"))
+    # One short list per source: a row for each range that holds some of it.
+    sources = ranges.groupBy("source_name").agg(F.collect_list(F.struct("r", "n", "first")).alias("_ranges"), F.sum("n").alias("_total"))
+    before = F.aggregate(
+        "_ranges", F.lit(0).cast("long"),
+        lambda total, x: total + F.when(x["r"] < in_range, x["n"]).when(x["r"] == in_range, 1 - x["first"]).otherwise(0),
+    )
+    return ordered.join(sources, "source_name").withColumn("_n", F.col("_place") + before).drop("_place", "_ranges")
+
+
 def crawl_website(pages: DataFrame, base_url: str, max_pages: int = 50, allowed_domains: list[str] | None = None,
                   max_depth: int | None = None, follow_external: bool = False,
                   visited: DataFrame | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +24,7 @@ SETTINGS = {
     # Joins of narrow keys with wide texts hash the keys instead of sorting the texts.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
-    # Top-k per group is cut inside the map tasks also for k above the default of 1000.
-    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64MB",
 }
 
 
@@ -47,19 +47,20 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 
-    Only a local session without the setting gets a temporary folder; on a cluster a
-    missing setting is an error, because a machine-local folder would be lost with it.
+    Without ``spark.checkpoint.dir`` it is a folder of the warehouse, which a session's
+    executors share as well. The rule is the same for every master.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="doclake-")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_doclake"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder.
 
@@ -67,13 +68,33 @@ def written(df: DataFrame, label: str) -> DataFrame:
     use reads only the columns it names.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/doclake/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch():
+    """Deletes at its end every table that :func:`written` made inside it.
+
+    Operators whose lazy result still reads such tables (crawl, clusters, forest) leave them to
+    the caller, who uses the result inside the block.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table behind a frame that :func:`written` returned and nobody reads any more."""
-    spark = df.sparkSession
     for folder in {os.path.dirname(f) for f in df.inputFiles() if "/doclake/" in f}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -79,7 +80,8 @@ def test_sentiment(spark, docs):
     rules = sentiment.sentiment_analysis(docs)
     assert rules.model is None and rules.predictions.count() == 90
     untrainable = spark.createDataFrame([("a", "the", 1)], "data_id string, extracted_text string, y int")
-    assert sentiment.sentiment_analysis(untrainable, label="y").model is None
+    failed = sentiment.sentiment_analysis(untrainable, label="y")
+    assert failed.model is None and "no terms" in failed.model_info
 
 
 def test_exact_quantile(spark):
@@ -118,9 +120,16 @@ def test_samples_per_tree(spark, features):
     for n, size in ((510, 256), (510, 20), (510, 510)):
         sample = iforest.sample_trees(features, "data_id", n, 100, size, 42)
         per_tree = sample.groupBy("tree").agg(F.count("*").alias("n"), F.count_distinct("data_id").alias("d")).collect()
-        assert len(per_tree) == 100 and all(r["n"] == r["d"] <= size for r in per_tree)
-        if size < 510:
-            assert sum(r["n"] for r in per_tree) >= 0.95 * 100 * size
+        assert len(per_tree) == 100 and all(r["n"] == r["d"] == size for r in per_tree)
+    few = iforest.sample_trees(features.limit(5), "data_id", 5, 10, 5, 1)
+    assert few.count() == 50
+
+
+def test_forest_too_large_to_send(features):
+    forest, _ = iforest.fit(features, n_trees=2, max_samples=16)
+    forest.nodes = pd.concat([forest.nodes] * (iforest.MAX_NODES // len(forest.nodes) + 1))
+    with pytest.raises(ValueError):
+        forest.scores(features)
 
 
 def test_path_lengths(features):
