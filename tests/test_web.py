@@ -1,3 +1,4 @@
+import os
 import re
 from collections import deque
 from urllib.parse import urljoin, urlparse
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from doclake.operators import web as W
+from doclake.session import scratch
 
 # html -> (title, content)
 GOLDENS = [
@@ -160,3 +162,23 @@ def test_deep_crawl(spark):
     chain = pages_of(spark, [(f"http://c/{i}", a(f"/{i + 1}", f"/{i - 1}")) for i in range(n)])
     rows = W.crawl_website(chain, "http://c/0", max_pages=19).orderBy("crawl_rank").collect()
     assert [(r["url"], r["depth"], r["crawl_rank"]) for r in rows] == [(f"http://c/{i}", i, i + 1) for i in range(n - 1)]
+
+
+def test_walk_reads_links_only_and_cleans_up(spark, site, monkeypatch):
+    """No written table of the walk holds a text, none is ranked by a window, and none is left behind."""
+    made = []
+
+    def spy(df, label):
+        assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString(), label
+        made.append((label, set(df.columns), W_written(df, label)))
+        return made[-1][2]
+
+    W_written = W.written
+    monkeypatch.setattr(W, "written", spy)
+    with scratch():
+        for cap in (3, 1_000_000):
+            assert W.crawl_website(site, "http://h/", cap).count() == len(queue_crawl("http://h/", cap))
+        folders = [f.rsplit("/", 1)[0].removeprefix("file://") for _, _, df in made for f in df.inputFiles()]
+        assert folders and all(map(os.path.isdir, folders))
+    assert not any(columns & {"content", "html"} for _, columns, _ in made)
+    assert not any(map(os.path.exists, folders))
