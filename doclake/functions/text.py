@@ -56,6 +56,11 @@ def preview(text, limit: int = 1000) -> Column:
     return F.when(F.char_length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)
 
 
+def preview_with_dots(text, limit: int = 200) -> Column:
+    """The first ``limit`` characters, always with dots behind them."""
+    return F.concat(cut(text, limit), F.lit("..."))
+
+
 def cut(text, limit: int) -> Column:
     return F.substring(_col(text), 1, limit)
 

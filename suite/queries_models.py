@@ -98,6 +98,43 @@ def _(t):
     return iforest.anomaly_count(iforest.anomaly_detection(TX.ml_features(t.processed_data)))
 
 
+# What must hold for any trained model, over all its rows, whatever the numbers of its labels.
+
+
+@query("clustering_invariants", f"""SELECT count(*) AS texts, count(DISTINCT data_id) AS keys, count(*) AS in_range, count(*) AS in_sizes,
+ 50 AS top_terms, TRUE AS silhouette_in_range FROM processed_data WHERE {T} IS NOT NULL""")
+def _(t):
+    found = clustering(t)
+    total = F.count("*")
+    return found.assignments.agg(
+        total.alias("texts"), F.count_distinct("data_id").alias("keys"), F.count_if(F.col("prediction").between(0, 4)).alias("in_range"),
+    ).select(
+        "*", found.sizes().agg(F.sum("size")).scalar().alias("in_sizes"), found.top_terms.agg(total.cast("int")).scalar().alias("top_terms"),
+        found.silhouette.select(F.col("silhouette_sq").between(-1, 1)).scalar().alias("silhouette_in_range"))
+
+
+@query("sentiment_invariants", f"""SELECT count(*) AS texts, count(*) AS known_labels, count(*) AS summing_to_one, 1.0::DOUBLE AS importance
+FROM processed_data p JOIN labels l ON p.data_id = concat('p', CAST(l.doc_id AS VARCHAR)) WHERE {T} IS NOT NULL AND quality IS NOT NULL""")
+def _(t):
+    found = sentiment.sentiment_analysis(labelled(t), label="quality")
+    total = F.aggregate("probability", F.lit(0.0), lambda a, x: a + x)
+    return found.predictions.agg(
+        F.count("*").alias("texts"), F.count_if(F.col("prediction").isin(0, 1)).alias("known_labels"),
+        F.count_if(F.abs(total - 1) < 1e-9).alias("summing_to_one"),
+    ).select("*", found.importances.agg(F.round(F.sum("importance"), 6)).scalar().alias("importance"))
+
+
+# A row is flagged below the 0.1-quantile of the scores: at most a tenth of the steps between rows, and one.
+@query("anomaly_invariants", f"""SELECT count(*) AS total, count(DISTINCT data_id) AS keys, TRUE AS share_holds, TRUE AS sign_agrees
+FROM processed_data WHERE {T} IS NOT NULL""")
+def _(t):
+    flagged = F.count_if(F.col("anomaly") == -1)
+    return iforest.anomaly_detection(TX.ml_features(t.processed_data)).agg(
+        F.count("*").alias("total"), F.count_distinct("data_id").alias("keys"),
+        (flagged <= F.floor((F.count("*") - 1) * 0.1) + 1).alias("share_holds"),
+        F.every((F.col("anomaly") == -1) == (F.col("anomaly_score") < 0)).alias("sign_agrees"))
+
+
 @query("ml_insights")
 def _(t):
     found = insights.ml_insights(docs(t))

@@ -1,10 +1,15 @@
 """Scans, filters, joins, aggregates, limits and reports."""
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from doclake.functions import text as TX
 from doclake.operators import etl, insights, quality as Q
 from doclake.plans import explorer as E, reporting as R
-from doclake.sources import tables as S
+from doclake.session import shared_folder
+from doclake.sources import ingest, tables as S
 from suite.catalog import NOW, as_of, query, rounded
 
 # ------------------------------------------------------------------- scans and filters
@@ -279,6 +284,40 @@ def _(t):
     return Q.key_duplicates(t.processed_data, "file_id")
 
 
+KEYS = {"files": "file_id", "processed_data": "data_id", "analytics_results": "analysis_id", "data_quality_metrics": "metric_id"}
+REFERENCES = [("processed_data", "files", "file_id"), ("analytics_results", "processed_data", "data_id"),
+              ("data_quality_metrics", "files", "file_id")]
+
+
+@query("key_uniqueness_all", " UNION ALL ".join(
+    f"SELECT '{table}' AS table_name, count(*) AS n_keys, count(*) FILTER (WHERE n > 1) AS repeated FROM (SELECT {key}, count(*) AS n FROM {table} GROUP BY {key})"
+    for table, key in KEYS.items()))
+def _(t):
+    return reduce(DataFrame.unionAll, [
+        getattr(t, table).groupBy(key).agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("n_keys"), F.count_if(F.col("n") > 1).alias("repeated"))
+        .select(F.lit(table).alias("table_name"), "n_keys", "repeated") for table, key in KEYS.items()])
+
+
+@query("orphan_rows_all", " UNION ALL ".join(
+    f"SELECT '{child}' AS table_name, {key} AS missing, count(*) AS n FROM {child} c "
+    f"WHERE NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{key} = c.{key}) AND {key} IS NOT NULL GROUP BY {key}"
+    for child, parent, key in REFERENCES))
+def _(t):
+    return reduce(DataFrame.unionAll, [
+        Q.orphan_rows(getattr(t, child), getattr(t, parent), key).groupBy(key).agg(F.count("*").alias("n"))
+        .select(F.lit(child).alias("table_name"), F.col(key).alias("missing"), "n") for child, parent, key in REFERENCES])
+
+
+# Written as CSV part files and read back.
+@query("csv_round_trip", """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders""")
+def _(t):
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    path = f"{shared_folder(t.spark)}/doclake/csv-{uuid.uuid4().hex}"
+    E.export_csv(rows, path)
+    return ingest.read_csv_table(t.spark, path, rows.schema)
+
+
 @query("orphan_rows", """
 SELECT metric_id, file_id FROM data_quality_metrics m
 WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.file_id = m.file_id)""")

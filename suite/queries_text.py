@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from doclake.functions import fixed as X, scalars as SC, text as TX, urls as U
 from doclake.operators import etl, quality as Q, sentiment
 from doclake.plans import reporting as R
+from doclake.sources import ingest as I
 from suite.catalog import ALL_WS, LB, NOW, TEXTS, WS, as_of, count_of, query, rounded, sql_list
 from suite.catalog import Tables
 
@@ -52,6 +53,7 @@ UNIQUE = "len(list_distinct(w)) / greatest(n, 1)"
 measured("word_count", lambda: TX.word_count(T), WORD_COUNT)
 measured("char_count", lambda: TX.char_count(T), CHAR_COUNT)
 measured("sentence_count", lambda: TX.sentence_count(T), "s")
+measured("text_preview_dots", lambda: TX.preview_with_dots(T), f"concat(left({T}, 200), '...')")
 measured("text_preview", lambda: TX.preview(T, 1000),
          f"CASE WHEN c > 1000 THEN concat(left({T}, 1000), '...') ELSE {T} END")
 measured("clean_text", lambda: TX.clean_text(T), f"""
@@ -288,6 +290,43 @@ def _(t):
     return _loaded(store)
 
 
+# ----------------------------------------------------------------------------- ingestion
+
+# Every document as the bytes of an uploaded file.
+FILE_EXT = """CASE doc_id % 5 WHEN 0 THEN '.txt' WHEN 1 THEN '.mp3' WHEN 2 THEN '.mp4' WHEN 3 THEN '.zip' ELSE '.html' END"""
+UPLOADED = f"""uploaded AS (SELECT concat('doc_', CAST(doc_id AS STRING), {FILE_EXT}) AS filename, {FILE_EXT} AS file_type,
+ CASE doc_id % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'audio' WHEN 2 THEN 'video' WHEN 3 THEN 'archives' ELSE 'unknown' END AS content_type,
+ text, CASE WHEN doc_id % 5 = 0 AND text IS NULL THEN 'error' ELSE 'ok' END AS extract_status FROM documents)"""
+
+
+def uploaded_files(t: Tables):
+    path = F.concat(F.lit("/in/doc_"), F.col("doc_id").cast("string"), F.expr(FILE_EXT))
+    content = F.encode("text", "UTF-8")
+    return I.ingest_files(t.documents.select(
+        path.alias("path"), as_of().alias("modificationTime"), F.length(content).cast("long").alias("length"), content.alias("content")), as_of=as_of())
+
+
+@query("ingest_files", f"""WITH {UPLOADED} SELECT filename, file_type, CAST(strlen(text) AS BIGINT) AS file_size, 'upload' AS source_type,
+ FALSE AS processed, md5(text) AS content_md5 FROM uploaded""")
+def _(t):
+    return uploaded_files(t).select(
+        "filename", "file_type", "file_size", "source_type", "processed", F.md5("content").alias("content_md5"))
+
+
+@query("extract_content", f"""WITH {UPLOADED} SELECT filename, content_type, extract_status,
+ md5(CASE content_type WHEN 'text' THEN text WHEN 'audio' THEN '{X.AUDIO_TEXT}' WHEN 'video' THEN '{X.VIDEO_TEXT}' ELSE '' END) AS text_md5
+FROM uploaded""")
+def _(t):
+    files = uploaded_files(t)
+    return I.extract_content(files).join(files.select("file_id", "filename"), "file_id").select(
+        "filename", "content_type", "extract_status", F.md5("extracted_text").alias("text_md5"))
+
+
+@query("upload_summary", f"WITH {UPLOADED} SELECT extract_status, count(*) AS count FROM uploaded GROUP BY extract_status")
+def _(t):
+    return R.upload_summary(I.extract_content(uploaded_files(t)))
+
+
 # --------------------------------------------------------------------------------- scalars
 
 EXTENSION = """CASE WHEN contains(ltrim(list_last(string_split({f}, '/')), '.'), '.')
