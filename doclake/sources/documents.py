@@ -1,287 +1,76 @@
-"""Readers for single documents: small per-file helpers used inside Spark tasks.
+"""Texts of office files: one small helper per format, used on the rows of a Spark task.
 
-Office formats are ZIP archives of XML, so the standard library reads them.
+The formats are ZIP archives of XML, so the standard library reads them.
 """
 
 from __future__ import annotations
 
 import io
 import posixpath
-import re
-import struct
 import zipfile
-from datetime import datetime, timedelta
 from xml.etree import ElementTree as ET
 
-import pandas as pd
+MAX_PART = 256 << 20  # bytes of an unpacked part; a larger one is an error, not a full memory
 
 
-class Unsupported(Exception):
-    """The format is known but there is no decoder for it here."""
+def _part(package: zipfile.ZipFile, name: str):
+    if package.getinfo(name).file_size > MAX_PART:
+        raise ValueError(f"{name} unpacks to more than {MAX_PART} bytes")
+    return ET.fromstring(package.read(name))
 
 
-def _local(tag: str) -> str:
-    return tag.rsplit("}", 1)[-1]
+def _listed(package: zipfile.ZipFile, main: str, tag: str) -> list[str]:
+    """The parts that the elements ``tag`` of the main part refer to, in their order."""
+    folder, name = posixpath.split(main)
+    targets = {r.get("Id"): r.get("Target") for r in _part(package, f"{folder}/_rels/{name}.rels")}
+    # r:id comes beside a plain id; only the former is namespaced.
+    ids = [next(v for k, v in e.attrib.items() if k.endswith("}id")) for e in _part(package, main).iterfind(f".//{{*}}{tag}")]
+    return [posixpath.normpath(posixpath.join("/" + folder, targets[i])).lstrip("/") for i in ids]
 
 
-def _children(node, name: str):
-    return [c for c in node if _local(c.tag) == name]
+def _runs(paragraph, breaks: dict[str, str]) -> str:
+    return "".join(e.text or "" if e.tag.endswith("}t") else breaks.get(e.tag.rsplit("}", 1)[-1], "") for e in paragraph.iter())
 
 
-def _find(node, *path: str):
-    for name in path:
-        node = next(iter(_children(node, name)), None) if node is not None else None
-    return node
-
-
-def _attr(node, name: str):
-    return next((v for k, v in node.attrib.items() if _local(k) == name), None)
-
-
-class _Package:
-    def __init__(self, content: bytes):
-        self.zip = zipfile.ZipFile(io.BytesIO(content))
-
-    def xml(self, part: str):
-        return ET.fromstring(self.zip.read(part))
-
-    def has(self, part: str) -> bool:
-        return part in self.zip.namelist()
-
-    def related(self, part: str) -> dict[str, str]:
-        """Relationship id -> target part."""
-        folder, name = posixpath.split(part)
-        rels = f"{folder}/_rels/{name}.rels"
-        if not self.has(rels):
-            return {}
-        return {
-            r.get("Id"): posixpath.normpath(posixpath.join("/" + folder, r.get("Target"))).lstrip("/")
-            for r in self.xml(rels)
-        }
-
-
-# ------------------------------------------------------------------- text documents
-
-
-_RUN_TEXT = {"tab": "\t", "br": "\n", "cr": "\n"}
-
-
-def docx_text(content: bytes) -> str:
+def docx_text(package: zipfile.ZipFile) -> str:
     """Every paragraph of the body, each followed by a line feed."""
-    body = _find(_Package(content).xml("word/document.xml"), "body")
-    lines = []
-    for paragraph in _children(body, "p"):
-        lines.append("".join(
-            (node.text or "") if _local(node.tag) == "t" else _RUN_TEXT.get(_local(node.tag), "")
-            for run in _children(paragraph, "r") for node in run
-        ))
-    return "".join(line + "\n" for line in lines)
-
-
-def _shape_text(shape) -> str:
-    body = _find(shape, "txBody")
-    if body is None:
-        return ""
-    return "\n".join(
-        "".join(
-            "\v" if _local(node.tag) == "br" else "".join(t.text or "" for t in _children(node, "t"))
-            for node in paragraph if _local(node.tag) in ("r", "br", "fld")
-        )
-        for paragraph in _children(body, "p")
-    )
+    paragraphs = _part(package, "word/document.xml").iterfind("./{*}body/{*}p")
+    return "".join(_runs(p, {"tab": "\t", "br": "\n", "cr": "\n"}) + "\n" for p in paragraphs)
 
 
-def pptx_text(content: bytes) -> str:
+def pptx_text(package: zipfile.ZipFile) -> str:
     """The text of every text shape, slide by slide, each followed by a line feed."""
-    package = _Package(content)
-    main = "ppt/presentation.xml"
-    targets = package.related(main)
-    slides = _find(package.xml(main), "sldIdLst")
-    text = []
-    for slide in slides if slides is not None else []:
-        # r:id comes beside a plain id; only the former is namespaced.
-        rid = next(v for k, v in slide.attrib.items() if k.endswith("}id"))
-        tree = _find(package.xml(targets[rid]), "cSld", "spTree")
-        text += [_shape_text(s) + "\n" for s in _children(tree, "sp")]
-    return "".join(text)
-
-
-# ---------------------------------------------------------------------- spreadsheets
-
-
-def csv_text(content: bytes) -> str:
-    """The table as pandas prints it."""
-    return pd.read_csv(io.BytesIO(content)).to_string()
-
-
-def _column_index(ref: str) -> int:
-    n = 0
-    for ch in re.match(r"[A-Z]+", ref).group():
-        n = n * 26 + ord(ch) - 64
-    return n - 1
-
-
-def _date_styles(package: _Package) -> set[int]:
-    """Indexes of cell styles that show a number as a date or time."""
-    if not package.has("xl/styles.xml"):
-        return set()
-    styles = package.xml("xl/styles.xml")
-    formats = _find(styles, "numFmts")
-    custom = {
-        int(f.get("numFmtId")): re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode", ""))
-        for f in (formats if formats is not None else [])
-    }
-    dates = set(range(14, 23)) | {45, 46, 47} | {i for i, code in custom.items() if re.search("[dmhysDMHYS]", code)}
-    cells = _find(styles, "cellXfs")
-    return {i for i, xf in enumerate(cells if cells is not None else []) if int(xf.get("numFmtId", 0)) in dates}
+    slides = [_part(package, name) for name in _listed(package, "ppt/presentation.xml", "sldId")]
+    shapes = [s for slide in slides for s in slide.iterfind("./{*}cSld/{*}spTree/{*}sp")]
+    return "".join("\n".join(_runs(p, {"br": "\v"}) for p in s.iterfind("./{*}txBody/{*}p")) + "\n" for s in shapes)
 
 
-def _cell_value(cell, shared: list[str], dates: set[int]):
-    kind = cell.get("t", "n")
-    if kind == "inlineStr":
-        return "".join(t.text or "" for t in cell.iter() if _local(t.tag) == "t")
-    raw = _find(cell, "v")
-    if raw is None or raw.text is None:
-        return None
-    if kind == "s":
-        return shared[int(raw.text)]
-    if kind == "b":
-        return raw.text == "1"
-    if kind in ("str", "e", "d"):
-        return raw.text
-    number = float(raw.text)
-    if int(cell.get("s", 0)) in dates:
-        return datetime(1899, 12, 30) + timedelta(days=number)
-    return int(number) if number.is_integer() else number
+def xlsx_text(package: zipfile.ZipFile) -> str:
+    """The cells that the first sheet stores, tabs between cells and line feeds between rows.
 
-
-def xlsx_text(content: bytes) -> str:
-    """The first sheet, its first row as header, as pandas prints it."""
-    package = _Package(content)
-    book = "xl/workbook.xml"
-    first = next(iter(_find(package.xml(book), "sheets")))
-    sheet = package.related(book)[next(v for k, v in first.attrib.items() if k.endswith("}id"))]
+    Empty cells are not filled in, so a text is never larger than its file's cells.
+    """
     shared = []
-    if package.has("xl/sharedStrings.xml"):
-        shared = [
-            "".join(t.text or "" for t in item.iter() if _local(t.tag) == "t")
-            for item in package.xml("xl/sharedStrings.xml")
-        ]
-    dates = _date_styles(package)
-    rows: dict[int, dict[int, object]] = {}
-    for n, row in enumerate(_find(package.xml(sheet), "sheetData")):
-        cells = rows.setdefault(int(row.get("r", n + 1)) - 1, {})
-        for i, cell in enumerate(row):
-            cells[_column_index(cell.get("r")) if cell.get("r") else i] = _cell_value(cell, shared, dates)
-    width = max((max(c) + 1 for c in rows.values() if c), default=0)
-    height = max(rows, default=-1) + 1
-    grid = [[rows.get(r, {}).get(c) for c in range(width)] for r in range(height)]
-    if not grid:
-        return pd.DataFrame().to_string()
-    header = [f"Unnamed: {i}" if h is None else h for i, h in enumerate(grid[0])]
-    seen: dict = {}
-    for i, h in enumerate(header):
-        seen[h] = seen.get(h, -1) + 1
-        header[i] = f"{h}.{seen[h]}" if seen[h] else h
-    return pd.DataFrame(grid[1:], columns=header).infer_objects().to_string()
-
-
-# ---------------------------------------------------------------------------- images
-
-
-def _png(b: bytes):
-    width, height, depth, colour = struct.unpack(">IIBB", b[16:26])
-    grey = "1" if depth == 1 else "I" if depth == 16 else "L"
-    return "PNG", width, height, {0: grey, 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}[colour]
-
-
-def _gif(b: bytes):
-    return ("GIF", *struct.unpack("<HH", b[6:10]), "P")
-
-
-def _bmp(b: bytes):
-    if struct.unpack("<I", b[14:18])[0] == 12:
-        width, height, _, bits = struct.unpack("<HHHH", b[18:26])
-    else:
-        width, height, _, bits = struct.unpack("<iiHH", b[18:30])
-    return "BMP", width, abs(height), {1: "1", 4: "P", 8: "P"}.get(bits, "RGB")
-
-
-def _jpeg(b: bytes):
-    at = 2
-    while at + 9 < len(b):
-        marker, size = b[at + 1], struct.unpack(">H", b[at + 2:at + 4])[0]
-        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-            height, width, bands = struct.unpack(">HHB", b[at + 5:at + 10])
-            return "JPEG", width, height, {1: "L", 3: "RGB", 4: "CMYK"}[bands]
-        at += 2 + size
-    raise ValueError("no frame header in JPEG data")
-
-
-def _tiff(b: bytes):
-    order = "<" if b[:2] == b"II" else ">"
-    at = struct.unpack(order + "I", b[4:8])[0]
-    tags = {}
-    for i in range(struct.unpack(order + "H", b[at:at + 2])[0]):
-        tag, kind, count, raw = struct.unpack(order + "HHI4s", b[at + 2 + 12 * i:at + 14 + 12 * i])
-        if kind == 3 and count > 2:  # short values that do not fit are stored elsewhere
-            raw = b[struct.unpack(order + "I", raw)[0]:][:2]
-        tags[tag] = struct.unpack(order + ("H" if kind == 3 else "I"), raw[:2] if kind == 3 else raw)[0]
-    bits, bands, photometric = tags.get(258, 1), tags.get(277, 1), tags.get(262, 0)
-    if photometric == 2:
-        mode = "RGBA" if bands == 4 else "RGB"
-    else:
-        grey = {1: "1", 16: "I;16"}.get(bits, "L")
-        mode = {3: "P", 5: "CMYK", 6: "YCbCr"}.get(photometric, "LA" if bands == 2 else grey)
-    return "TIFF", tags[256], tags[257], mode
-
-
-_IMAGE_HEADERS = [
-    (b"\x89PNG\r\n\x1a\n", _png), (b"GIF87a", _gif), (b"GIF89a", _gif), (b"BM", _bmp),
-    (b"\xff\xd8\xff", _jpeg), (b"II*\0", _tiff), (b"MM\0*", _tiff),
-]
-
-
-def image_text(content: bytes) -> str:
-    """Format, size and colour mode, read from the header without decoding pixels."""
-    for magic, read in _IMAGE_HEADERS:
-        if content.startswith(magic):
-            kind, width, height, mode = read(content)
-            return f"Image: {kind}, Size: ({width}, {height}), Mode: {mode}"
-    raise ValueError("cannot identify image file")
-
-
-# ------------------------------------------------------------------------------- PDF
-
-
-def pdf_text(content: bytes) -> str:
-    """Page texts in order, where the workers have a PDF reader installed."""
-    try:
-        from pypdf import PdfReader
-    except ImportError:
-        try:
-            from PyPDF2 import PdfReader
-        except ImportError:
-            raise Unsupported("no PDF reader on the workers") from None
-    return "".join(page.extract_text() for page in PdfReader(io.BytesIO(content)).pages)
+    if "xl/sharedStrings.xml" in package.namelist():
+        shared = [_runs(s, {}) for s in _part(package, "xl/sharedStrings.xml").iterfind("./{*}si")]
 
+    def value(cell) -> str:
+        kind = cell.get("t")
+        raw = _runs(cell, {}) if kind == "inlineStr" else cell.findtext("./{*}v") or ""
+        return shared[int(raw)] if kind == "s" and raw else {"0": "False", "1": "True"}[raw] if kind == "b" and raw else raw
 
-def _legacy(content: bytes) -> str:
-    raise Unsupported("legacy binary office format")
+    rows = _part(package, _listed(package, "xl/workbook.xml", "sheet")[0]).iterfind("./{*}sheetData/{*}row")
+    return "\n".join("\t".join(value(c) for c in row.iterfind("./{*}c")) for row in rows)
 
 
-READERS = {
-    ".docx": docx_text, ".pptx": pptx_text, ".xlsx": xlsx_text, ".csv": csv_text, ".pdf": pdf_text,
-    ".doc": _legacy, ".ppt": _legacy, ".xls": _legacy,
-}
+READERS = {".docx": docx_text, ".pptx": pptx_text, ".xlsx": xlsx_text}
 
 
-def read_document(extension: str, category: str, content: bytes) -> tuple[str | None, str, str | None]:
+def read_document(extension: str, content: bytes) -> tuple[str | None, str, str | None]:
     """(text, status, error) of one file; status is ok, unsupported or error."""
+    if extension not in READERS:
+        return None, "unsupported", f"no reader for {extension}"
     try:
-        read = image_text if category == "images" else READERS[extension]
-        return read(content), "ok", None
-    except Unsupported as e:
-        return None, "unsupported", str(e)
+        return READERS[extension](zipfile.ZipFile(io.BytesIO(content))), "ok", None
     except Exception as e:  # a damaged file is a row with a status, not a failed job
         return None, "error", f"{type(e).__name__}: {e}"

@@ -11,13 +11,19 @@ from doclake.session import discard, written
 from doclake.sources.documents import read_document
 from doclake.sources.tables import TableStore
 
-# Categories whose text needs a Python reader; all others are plain expressions.
-READ_IN_PYTHON = ["documents", "spreadsheets", "presentations", "images"]
+# Categories whose files may need a Python reader; all others are plain expressions.
+OFFICE = ["documents", "spreadsheets", "presentations"]
+MAX_BYTES = 1 << 30  # of a file whose content is read as one value
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Every file below a folder: path, modificationTime, length, content."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Every file below a folder: path, modificationTime, length, content.
+
+    The content of a file above ``max_bytes`` is null; it is never read.
+    """
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    large = every.where(F.col("length") > max_bytes).withColumn("content", F.lit(None).cast("binary"))
+    return every.where(F.col("length") <= max_bytes).unionAll(large)
 
 
 def read_csv_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -26,6 +32,40 @@ def read_csv_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return (reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).csv(path)
 
 
+def csv_text(text: Column) -> Column:
+    """A CSV text with tabs between its cells and line feeds between its rows.
+
+    Quotes around a cell go and doubled quotes become one; a quoted cell keeps its line feeds.
+    """
+    cells = F.regexp_extract_all(text, F.lit(r'("[^"]*+(?:""[^"]*+)*+"|[^,\r\n]*)(,|\r\n?|\n|\z)'), F.lit(0))
+
+    def shown(cell: Column) -> Column:
+        end = F.regexp_extract(cell, r"(,|\r\n?|\n|)\z", 1)
+        body = F.substring(cell, F.lit(1), F.length(cell) - F.length(end))
+        quoted = body.startswith('"') & body.endswith('"') & (F.length(body) > 1)
+        plain = F.replace(F.substring(body, F.lit(2), F.length(body) - 2), F.lit('""'), F.lit('"'))
+        return F.concat(F.when(quoted, plain).otherwise(body), F.when(end == ",", "\t").when(end == "", "").otherwise("\n"))
+
+    return F.array_join(F.transform(cells, shown), "")
+
+
+def image_texts(spark: SparkSession, path: str) -> DataFrame:
+    """path and text (format, size, colour mode) of every image below a folder that can be decoded."""
+    names = ",".join(e[1:] + "," + e[1:].upper() for e in X.FILE_CATEGORIES["images"])
+    found = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{names}}}").load(path)
+    # Origins are encoded URIs, other sources give plain paths.
+    origin = F.regexp_replace(F.url_decode(F.replace("image.origin", F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+    kind = F.replace(F.replace(F.upper(F.regexp_extract("path", "[.]([^.]+)$", 1)), F.lit("JPG"), F.lit("JPEG")), F.lit("TIFF"), F.lit("TIF"))
+    mode = F.when(F.col("channels") == 1, "L").when(F.col("channels") == 4, "RGBA").otherwise("RGB")
+    return found.select(origin.alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"),
+                        F.col("image.nChannels").alias("channels")).where("width > 0").select(
+        "path", F.format_string("Image: %s, Size: (%d, %d), Mode: %s", F.replace(kind, F.lit("TIF"), F.lit("TIFF")), "width", "height", mode).alias("text"))
+
+
+def file_id() -> Column:
+    return SC.stable_id("path", "modificationTime", "length")
+
+
 def ingest_files(raw: DataFrame, source_type: str = "upload", as_of: Column | None = None) -> DataFrame:
     """Rows for ``files`` from ``binaryFile`` rows.
 
@@ -35,7 +75,7 @@ def ingest_files(raw: DataFrame, source_type: str = "upload", as_of: Column | No
     name = F.element_at(F.split("path", "/"), -1)
     extension = SC.file_extension(name)
     return raw.select(
-        SC.stable_id("path", "modificationTime", "length").alias("file_id"),
+        file_id().alias("file_id"),
         name.alias("filename"),
         extension.alias("file_type"),
         F.col("length").alias("file_size"),
@@ -54,41 +94,45 @@ READ = T.StructType([T.StructField(n, T.StringType()) for n in ("text", "status"
 
 
 @F.pandas_udf(READ)
-def _read(extension: pd.Series, category: pd.Series, content: pd.Series) -> pd.DataFrame:
-    rows = [
-        (None, None, None) if c is None else read_document(e, k, c)
-        for e, k, c in zip(extension, category, content)
-    ]
+def _read(extension: pd.Series, content: pd.Series) -> pd.DataFrame:
+    rows = [(None, None, None) if c is None else read_document(e, c) for e, c in zip(extension, content)]
     return pd.DataFrame(rows, columns=["text", "status", "error"])
 
 
-def extract_content(files: DataFrame) -> DataFrame:
+def extract_content(files: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """file_id, content_type, extracted_text, extract_status, extract_error of every file.
 
-    One scan: plain text, media and archives stay in the JVM, and only the bytes of office
-    files and images are handed to Python.
+    One scan: plain text, CSV, media and archives stay in the JVM, and only the bytes of
+    office files are handed to Python. ``images`` (file_id, text) says what was decoded of
+    images; those it does not list, and all without it, are errors.
     """
-    category = SC.file_category("file_type")
-    in_python = F.col("content_type").isin(READ_IN_PYTHON)
-    typed = files.select("file_id", "file_type", "content", category.alias("content_type"))
-    read = typed.withColumn(
-        "_r", _read("file_type", "content_type", F.when(in_python, F.col("content")))
-    )
-    decoded = F.try_validate_utf8(F.col("content").cast("string"))
-    kind = F.col("content_type")
+    kind, content, extension = F.col("content_type"), F.col("content"), F.col("file_type")
+    is_csv = extension == ".csv"
+    in_python = kind.isin(OFFICE) & ~is_csv
+    as_text = (kind == "text") | is_csv
+    typed = files.select("file_id", "file_type", "content", SC.file_category("file_type").alias("content_type"))
+    read = typed.withColumn("_r", _read("file_type", F.when(in_python, content)))
+    if images is None:
+        read = read.withColumn("_image", F.lit(None).cast("string"))
+    else:
+        read = read.join(images.select("file_id", F.col("text").alias("_image")), "file_id", "left")
+    decoded = F.try_validate_utf8(content.cast("string"))
     text = (
         F.when(in_python, F.col("_r.text"))
+        .when(is_csv, csv_text(decoded))
         .when(kind == "text", decoded)
+        .when(kind == "images", F.col("_image"))
         .when(kind == "audio", X.AUDIO_TEXT)
         .when(kind == "video", X.VIDEO_TEXT)
         .otherwise("")
     )
-    status = (
-        F.when(in_python, F.coalesce(F.col("_r.status"), F.lit("error")))
-        .when((kind == "text") & decoded.isNull(), "error")
-        .otherwise("ok")
+    error = (
+        F.when((in_python | as_text) & content.isNull(), "no content, or more than can be read as one value")
+        .when(in_python, F.col("_r.error"))
+        .when(as_text & decoded.isNull(), "not valid UTF-8")
+        .when((kind == "images") & F.col("_image").isNull(), "cannot decode the image")
     )
-    error = F.when(in_python, F.col("_r.error")).when((kind == "text") & decoded.isNull(), "not valid UTF-8")
+    status = F.when(in_python & content.isNotNull(), F.col("_r.status")).when(error.isNotNull(), "error").otherwise("ok")
     return read.select(
         "file_id", "content_type", text.alias("extracted_text"), status.alias("extract_status"),
         error.alias("extract_error"),
@@ -125,13 +169,15 @@ def ingest(store: TableStore, path: str, source_type: str = "upload", as_of: Col
     them failed, are narrow tables written first, so that the planner knows their size and
     broadcasts them to the content scan.
     """
-    new, parts = ingest_files(read_files(store.spark, path), source_type, as_of), []
+    raw = read_files(store.spark, path)
+    new, parts = ingest_files(raw, source_type, as_of), []
+    images = image_texts(store.spark, path).join(raw.select(file_id().alias("file_id"), "path"), "path").select("file_id", "text")
     known = store.read("files").select("file_id")
     if not known.isEmpty():
         ids = written(new.select("file_id").join(known, "file_id", "left_anti"), "new-files")
         parts.append(ids)
         new = new.join(ids, "file_id", "left_semi")
-    extracted = written(extract_content(new), "extracted")
+    extracted = written(extract_content(new, images), "extracted")
     failed = written(extracted.where(F.col("extract_status") != "ok").select("file_id"), "failed-files")
     parts += [extracted, failed]
     try:

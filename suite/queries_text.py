@@ -322,6 +322,16 @@ def _(t):
         "filename", "content_type", "extract_status", F.md5("extracted_text").alias("text_md5"))
 
 
+@query("csv_text", r"""SELECT doc_id, md5(array_to_string(list_transform(
+ regexp_extract_all(text, '("[^"]*(?:""[^"]*)*"|[^,\r\n]*)(,|\r\n?|\n|\z)'), lambda c: concat(
+  CASE WHEN regexp_matches(c, '^"[^"]*(""[^"]*)*"(,|\r\n?|\n|)\z')
+   THEN replace(regexp_extract(c, '(?s)^"(.*)"(,|\r\n?|\n|)\z', 1), '""', '"') ELSE regexp_replace(c, '(,|\r\n?|\n)\z', '') END,
+  CASE WHEN ends_with(c, ',') AND NOT regexp_matches(c, '^"[^"]*,\z') THEN chr(9) WHEN regexp_matches(c, '[\r\n]\z') THEN chr(10) ELSE '' END)), '')) AS text_md5
+ FROM documents""")
+def _(t):
+    return t.documents.select("doc_id", F.md5(I.csv_text(F.col("text"))).alias("text_md5"))
+
+
 @query("upload_summary", f"WITH {UPLOADED} SELECT extract_status, count(*) AS count FROM uploaded GROUP BY extract_status")
 def _(t):
     return R.upload_summary(I.extract_content(uploaded_files(t)))
