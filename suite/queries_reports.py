@@ -10,7 +10,7 @@ from doclake.operators import etl, insights, quality as Q
 from doclake.plans import explorer as E, reporting as R
 from doclake.session import shared_folder
 from doclake.sources import ingest, tables as S
-from suite.catalog import NOW, as_of, query, rounded
+from suite.catalog import NOW, QUERIES, as_of, query, rounded
 
 # ------------------------------------------------------------------- scans and filters
 
@@ -276,6 +276,72 @@ def _(t):
     return insights.ml_sample(t.processed_data).select("data_id", "char_count")
 
 
+# ---------------------------------------------------- reports of several frames, as one long frame
+
+# frame: key column, measures; the checking SQL is that of the query of the same name
+FRAMES = {
+    "file_type_distribution": ("file_type", ["count"]),
+    "processing_stats": (None, ["total_files", "processed_files", "analyzed_files", "processing_rate"]),
+    "quality_overview": ("concat_ws('/', check_type, status)", ["count"]),
+    "insight_averages": (None, ["avg_word_count", "avg_sentiment", "avg_confidence"]),
+    "recent_activity": ("date", ["count"]),
+    "pipeline_completion": (None, ["total_files", "processed_files", "completion_rate"]),
+    "recent_runs": ("run_date", ["records_processed"]),
+    "page_rows": ("o_orderkey", ["o_totalprice"]),
+    "page_count": (None, ["row_count", "total_pages"]),
+    "count_orders": (None, ["row_count"]),
+    "first_orders": ("o_orderkey", ["o_totalprice"]),
+}
+
+
+def long_sql(*names: str) -> str:
+    own = {"count_orders": "SELECT count(*) AS row_count FROM orders",
+           "first_orders": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5"}
+    return " UNION ALL ".join(
+        f"SELECT '{n}' AS frame, CAST({FRAMES[n][0] or 'NULL'} AS VARCHAR) AS key, '{m}' AS measure, round(CAST({m} AS DOUBLE), 6) AS value "
+        f"FROM ({own.get(n) or QUERIES[n].sql})" for n in names for m in FRAMES[n][1])
+
+
+def long_frame(frames: dict[str, DataFrame]) -> DataFrame:
+    """Rows (frame, key, measure, value) of the frames of a report."""
+    def one(name: str, df: DataFrame) -> DataFrame:
+        key, measures = FRAMES[name]
+        values = F.array(*[F.struct(F.lit(m).alias("measure"), F.round(F.col(m).cast("double"), 6).alias("value")) for m in measures])
+        return df.select(F.lit(name).alias("frame"), F.expr(f"CAST({key or 'NULL'} AS STRING)").alias("key"), F.inline_outer(values))
+
+    return reduce(DataFrame.unionAll, [one(n, df) for n, df in frames.items()])
+
+
+@query("dashboard", long_sql("file_type_distribution", "processing_stats", "quality_overview", "insight_averages", "recent_activity"))
+def _(t):
+    frames = R.dashboard(t.files, t.processed_data, t.analytics_results, t.data_quality_metrics, as_of())
+    return long_frame({"insight_averages" if n == "averages" else n: df for n, df in frames.items()})
+
+
+@query("analytics_insights", long_sql("insight_averages", "recent_activity"))
+def _(t):
+    frames = R.analytics_insights(t.analytics_results, as_of())
+    return long_frame({"insight_averages": frames["averages"], "recent_activity": frames["recent_activity"]})
+
+
+@query("pipeline_status", long_sql("pipeline_completion", "recent_runs"))
+def _(t):
+    frames = R.pipeline_status(t.files, t.analytics_results, as_of())
+    return long_frame({"pipeline_completion": frames["completion"], "recent_runs": frames["recent_runs"]})
+
+
+@query("table_profile", long_sql("count_orders", "first_orders"))
+def _(t):
+    frames = E.table_profile(t.orders, "o_orderkey")
+    return long_frame({"count_orders": frames["row_count"], "first_orders": frames["sample"]})
+
+
+@query("page_table", long_sql("page_rows", "page_count"))
+def _(t):
+    frames = E.page_table(t.orders, "o_orderkey", 3, 25)
+    return long_frame({"page_rows": frames["rows"], "page_count": frames["pages"]})
+
+
 # -------------------------------------------------------------------------- key checks
 
 
