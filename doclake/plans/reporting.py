@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from doclake import schema
 from doclake.functions import scalars as SC
 
 
@@ -17,10 +18,20 @@ def _now(as_of: Column | None) -> Column:
 
 def recent(df: DataFrame, ts: str, days: int | None = None, hours: int | None = None,
            as_of: Column | None = None) -> DataFrame:
-    """Rows of the last ``days`` (bound included) or the last ``hours`` (bound excluded)."""
+    """Rows of the last ``days`` (bound included) or the last ``hours`` (bound excluded).
+
+    Of a table stored by the day of ``ts`` only the folders of these days are read, and one
+    more, since the table may have been written in another time zone.
+    """
     if days is not None:
-        return df.where(F.col(ts) >= _now(as_of) - F.make_dt_interval(F.lit(days)))
-    return df.where(F.col(ts) > _now(as_of) - F.make_dt_interval(F.lit(0), F.lit(hours)))
+        bound = _now(as_of) - F.make_dt_interval(F.lit(days))
+        rows = df.where(F.col(ts) >= bound)
+    else:
+        bound = _now(as_of) - F.make_dt_interval(F.lit(0), F.lit(hours))
+        rows = df.where(F.col(ts) > bound)
+    if schema.DAY in df.columns and ts in schema.DAY_OF.values():
+        rows = rows.where(F.col(schema.DAY).isNull() | (F.col(schema.DAY) >= F.date_sub(F.to_date(bound), 1)))
+    return rows
 
 
 # ----------------------------------------------------------------------- filters, lists

@@ -45,3 +45,6 @@ PARENTS = {
     "analytics_results": ("data_id", "processed_data"),
     "data_quality_metrics": ("file_id", "files"),
 }
+# table -> the time by whose day its rows are stored, as partition column ``day``
+DAY = "day"
+DAY_OF = {"analytics_results": "created_date", "data_quality_metrics": "check_date"}

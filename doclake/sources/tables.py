@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from doclake import schema
 
 
 class TableStore:
-    """Reads and appends the tables; creating them is idempotent."""
+    """Reads and appends the tables; creating them is idempotent.
+
+    Results are stored by day (``schema.DAY_OF``): reports of recent days read only these days'
+    folders. Reading such a table gives the column ``day`` behind its own columns.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -21,14 +25,21 @@ class TableStore:
     def create_tables(self) -> "TableStore":
         """Write an empty table where there is none yet; existing rows stay."""
         for name, columns in schema.TABLES.items():
-            self.spark.createDataFrame([], columns).write.mode("append").parquet(self.path(name))
+            self.append(name, self.spark.createDataFrame([], columns))
         return self
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(schema.TABLES[name]).parquet(self.path(name))
+        columns = schema.TABLES[name].fields
+        if name in schema.DAY_OF:
+            columns = [*columns, T.StructField(schema.DAY, T.DateType())]
+        return self.spark.read.schema(T.StructType(columns)).parquet(self.path(name))
 
     def append(self, name: str, df: DataFrame) -> None:
-        conform(df, name).write.mode("append").parquet(self.path(name))
+        rows = conform(df, name)
+        if name in schema.DAY_OF:
+            rows.withColumn(schema.DAY, F.to_date(schema.DAY_OF[name])).write.mode("append").partitionBy(schema.DAY).parquet(self.path(name))
+        else:
+            rows.write.mode("append").parquet(self.path(name))
 
     def register(self) -> None:
         """Temporary views of all tables, for free SQL."""

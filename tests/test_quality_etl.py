@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -173,6 +174,24 @@ def test_reports(spark, store):
     assert nested["accuracy"] == {"good": 38}
 
 
+def test_results_are_stored_by_day(spark, store):
+    now = F.lit(dt.datetime(2024, 1, 20, 3))
+    for day in (1, 13, 14, 19, 20):
+        rows = spark.createDataFrame([(f"a{day}", "d", dt.datetime(2024, 1, day, 3))], "analysis_id string, data_id string, created_date timestamp")
+        store.append("analytics_results", rows)
+    store.append("analytics_results", spark.createDataFrame([("none",)], "analysis_id string"))
+    table = store.read("analytics_results")
+    assert table.columns == [*schema.ANALYTICS_RESULTS.names, "day"] and table.count() == 6
+    found = R.recent_activity(table, now)
+    assert [r["date"].day for r in found.collect()] == [20, 19, 14, 13]
+    assert R.new_rows(table, "created_date", "n", hours=24, as_of=now).first()["n"] == 1
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # 7 days before the 20th are the 13th; one day more for other time zones
+    assert re.search(r"PartitionFilters: \[\(isnull\(day#\d+\) OR \(day#\d+ >= 2024-01-12\)\)\]", plan)
+    same = R.recent_activity(table.drop("day"), now)  # without the column every row is read
+    assert same.collect() == found.collect()
+
+
 def test_incremental_waits_for_the_file(store, folder):
     """A text that a run sees before its file's row, or before the file is marked processed, is not lost."""
     spark, read = store.spark, store.read("files")
