@@ -131,3 +131,25 @@ def test_empty_tables(spark, tables, tmp_path):
     spark.read.parquet(f"{tables}/documents.parquet").write.parquet(f"{tmp_path}/more/documents.parquet")
     spark.read.parquet(f"{tables}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/more/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/more").where("doc_id = 110").count() > 0  # no items, nothing leaks
+
+
+@pytest.mark.parametrize("pages", [6, 60])
+def test_copies_reach_packing(spark, tmp_path, pages):
+    """A third of a host is copies of one page, another host is nothing else: one full copy of each is packed."""
+    rng = random.Random(pages)
+    page = [f"{MENU}\n{prose(rng, 60)}\n{prose(rng, 60)}" for _ in range(2)]
+    near = [f"{MENU}\n{prose(rng, 60)}\n{prose(rng, 60)}\n{prose(rng, 90)}" for _ in range(2)]
+    third = pages // 3
+    rows = [(i, page[0], "exact") for i in range(third)] + [(100 + i, page[1], "only") for i in range(third + 1)]
+    rows += [(200 + i, f"{near[0]}\nedit{i}", "near") for i in range(third)]
+    rows += [(300 + i, f"{MENU}\n{prose(rng, 90)}", host) for i, host in enumerate(["exact", "near"] * (pages - third))]
+    docs = [(d, t, None, s, len(t), "clash", "clash") for d, t, s in rows]
+    spark.createDataFrame(docs, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, prose(rng, 35))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    packed = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        packed[r["doc_id"]] = r["doc_tokens"]
+    assert set(packed) == {0, 100, 200, *(d for d, _, _ in rows if d >= 300)}
+    for d, text in ((0, page[0]), (100, page[1]), (200, f"{near[0]}\nedit0")):
+        kept = text if d == 100 else text.replace(f"{MENU}\n", "")
+        assert packed[d] == len(ids_of(kept, 2))
