@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from doclake.llm import words
-from doclake.llm.common import ID, ROW, numbered, packed, runs_of, texts_of, written
+from doclake.llm.common import ID, ROW, kept_numbers, packed, runs_of, texts_of, written
 from doclake.session import discard
 
 BANDS, ROWS = 24, 5
@@ -97,7 +97,7 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """Per row: _llm_id, doc_id, key (128 bits of its words, null without words), bands; written once."""
+    """Per row of a numbered table: _llm_id, doc_id, key (128 bits of its words, null without words), bands; written once."""
 
     def run(batches):
         for b in batches:
@@ -116,7 +116,7 @@ def signed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                     [b.column(0).slice(begin, len(texts)), b.column(1).slice(begin, len(texts)), pa.array(names, pa.binary()),
                      pa.array(bands, pa.list_(pa.int64()))], [ID, "doc_id", "key", "bands"])
 
-    rows = numbered(docs).select(ID, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(ID, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return written(rows.mapInArrow(run, f"{ID} long, doc_id long, key binary, bands array<long>"), "signatures")
 
 
@@ -138,7 +138,7 @@ def elements(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
     nodes = written(nodes, "nodes")
     if nodes.count() <= BROADCAST_ROWS:
         nodes = F.broadcast(nodes)
-    rows = numbered(docs).select(F.col(ID).alias("node"), F.col(text).alias("text")).join(nodes, "node", "left_semi")
+    rows = docs.select(F.col(ID).alias("node"), F.col(text).alias("text")).join(nodes, "node", "left_semi")
     return written(rows.mapInArrow(run, "node long, bag array<long>"), "bags")
 
 
@@ -261,7 +261,7 @@ def _joined(tested, links, labels, new):
 
 
 def _classes(docs: DataFrame, text: str, doc_id: str, percent: int) -> DataFrame:
-    """Per row: _llm_id, doc_id, label of its class. Written."""
+    """Per row of a numbered table: _llm_id, doc_id, label of its class. Written."""
     rows = signed(docs, text, doc_id)
     nodes = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(ID).alias("node"))
     member = written(rows.join(nodes, "key", "left").select(
@@ -275,16 +275,16 @@ def _classes(docs: DataFrame, text: str, doc_id: str, percent: int) -> DataFrame
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 80) -> DataFrame:
     """Per row: doc_id, class_id (the class's smallest doc_id), class_size (rows of the class)."""
-    rows = _classes(docs, text, doc_id, percent)
+    rows = _classes(kept_numbers(docs.select(doc_id, text)), text, doc_id, percent)
     sizes = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return rows.join(sizes, "label").select("doc_id", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 80) -> DataFrame:
     """One document of each class, the one of the smallest id, with all its columns."""
-    rows = _classes(docs, text, doc_id, percent)
+    kept = kept_numbers(docs)
+    rows = _classes(kept, text, doc_id, percent)
     first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ID))).alias("first"),
                                       F.count(F.lit(1)).alias("n")).where("n > 1")
     dropped = written(rows.join(first.select("label", F.col(f"first.{ID}").alias("kept")), "label").where(f"{ID} != kept").select(ID), "copies")
-    numbers = packed(docs).withColumn(ID, F.monotonically_increasing_id())
-    return numbers.join(dropped, ID, "left_anti").select(f"{ROW}.*")
+    return packed(kept, docs.columns, ID).join(dropped, ID, "left_anti").select(f"{ROW}.*")

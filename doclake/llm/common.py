@@ -23,15 +23,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def numbered(df: DataFrame) -> DataFrame:
     """The frame with the row number ``_llm_id``, which names a row even where its id is null or repeated.
 
-    The number is the row's place in its scan partition, so a frame read from files gives a
-    row the same number each time. Operators ask for such frames.
+    The number is the row's place in its partition, so it holds within one scan only: another
+    scan of the same files may have other splits. Operators that read the rows twice use
+    :func:`kept_numbers`.
     """
     return df.withColumn(ID, F.monotonically_increasing_id())
 
 
-def packed(df: DataFrame) -> DataFrame:
-    """The frame as one struct ``_llm_row``: columns added later cannot clash with its own."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW))
+def kept_numbers(df: DataFrame) -> DataFrame:
+    """:func:`numbered`, written once: every later read finds the same number beside a row."""
+    return written(numbered(df), "numbered")
+
+
+def packed(df: DataFrame, columns: list[str] | None = None, *beside: str) -> DataFrame:
+    """The frame, or its named columns, as one struct ``_llm_row``: columns added later cannot clash with its own."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in columns or df.columns]).alias(ROW), *beside)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

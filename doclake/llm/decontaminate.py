@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from doclake.llm import words
-from doclake.llm.common import ID, ROW, numbered, packed, runs_of, texts_of, written
+from doclake.llm.common import ID, ROW, kept_numbers, numbered, packed, runs_of, texts_of, written
 
 SCHEMA = f"{ID} long, doc_id long, item_id long, n_words int, distance int, start_word long, end_word long"
 _SIGNS = bytes(b if chr(b).isalnum() or b > 127 or b in b" \t\n\x0b\x0c\r" else 0x20 for b in range(256))
@@ -140,8 +140,12 @@ def blocks(benchmark: DataFrame, text: str, item_id: str, block_bytes: int) -> I
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, text: str = "text", doc_id: str = "doc_id",
             item_text: str = "text", item_id: str = "item_id", block_bytes: int = 4 << 20) -> DataFrame:
-    """One row per document row and item it holds; see ``SCHEMA``."""
-    rows = numbered(docs).select(ID, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    """One row per document row and item it holds; see ``SCHEMA``.
+
+    Documents that have a column ``_llm_id`` keep their numbers; else a number holds within
+    its block of items only.
+    """
+    rows = (docs if ID in docs.columns else numbered(docs)).select(ID, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = [_scan(rows, Items(block, rate)) for block in blocks(benchmark, item_text, item_id, block_bytes)]
     return reduce(DataFrame.unionAll, found)
 
@@ -163,6 +167,6 @@ def _scan(rows: DataFrame, items: Items) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents that hold no test item, with all their columns."""
-    bad = written(matches(docs, benchmark, rate, text, doc_id).select(ID).distinct(), "contaminated")
-    rows = packed(docs).withColumn(ID, F.monotonically_increasing_id())
-    return rows.join(bad, ID, "left_anti").select(f"{ROW}.*")
+    kept = kept_numbers(docs)
+    bad = written(matches(kept, benchmark, rate, text, doc_id).select(ID).distinct(), "contaminated")
+    return packed(kept, docs.columns, ID).join(bad, ID, "left_anti").select(f"{ROW}.*")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from doclake.llm import store
-from doclake.llm.common import ID, numbered, written
+from doclake.llm.common import ID, kept_numbers, written
 
 ARCHIVE_BYTES = 64 << 20
 BLOCK = 1000
@@ -96,7 +96,7 @@ def parse(data: bytes) -> dict:
 def write_archives(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id", min_bytes: int = 0) -> DataFrame:
     """Write all pages as archives; returns the captures (see ``CAPTURE``). Written."""
     body = F.coalesce(F.col(html), F.lit(""))
-    rows = numbered(pages).select(ID, F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("html"))
+    rows = kept_numbers(pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("html")))
     facts = written(rows.select(ID, "page_id", F.sha1(F.col("html").cast("binary")).alias("sha1"), F.octet_length("html").alias("size")), "payloads")
     first = F.min(F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("first_id"), F.col(ID).alias("first_row"))).alias("first")
     equal = facts.where(F.col("size") >= min_bytes).groupBy("sha1").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1")

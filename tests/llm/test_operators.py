@@ -111,6 +111,45 @@ def test_decontamination(spark, docs, empty, rows):
     assert decontaminate.matches(empty, bench).count() == 0 and decontaminate.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_rows_keep_their_numbers_in_other_splits(spark, tmp_path, monkeypatch):
+    """The files are one partition each in the first scan and fewer in all later ones."""
+    rng = random.Random(8)
+    leak = prose(rng, 30)
+    texts = [prose(rng, 60) for _ in range(24)]
+    texts[5], texts[17] = texts[20], f"{texts[17]} {leak}"
+    path = f"{tmp_path}/docs"
+    for i, t in enumerate(texts):
+        spark.createDataFrame([(i, t, t if i != 12 else texts[3], None)], "doc_id long, text string, html string, url string").repartition(1).write.mode("append").parquet(path)
+    key, whole = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def then_whole(written):
+        def run(df, label):
+            out = written(df, label)
+            spark.conf.set(key, whole)
+            return out
+
+        return run
+
+    for module in (bagminhash, decontaminate, warc):
+        monkeypatch.setattr(module, "written", then_whole(module.written))
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+
+    def frame():
+        spark.conf.set(key, "1k")
+        return spark.read.parquet(path)
+
+    try:
+        few = spark.read.parquet(path).rdd.getNumPartitions()
+        assert frame().rdd.getNumPartitions() > few
+        assert sorted(r["doc_id"] for r in bagminhash.keep_one(frame()).collect()) == [i for i in range(24) if i != 20]
+        assert sorted(r["doc_id"] for r in decontaminate.clean(frame(), bench).collect()) == [i for i in range(24) if i != 17]
+        made = frame().withColumnRenamed("doc_id", "page_id")
+        got = warc.read_records(warc.locate(s := warc.write_index(warc.write_archives(made)), warc.url_keys(made)), payload=True).collect()
+        assert s.count() and {(r["page_id"], r["refers_to"]) for r in got if r["record_type"] == "revisit"} == {(12, 3), (20, 5)}
+    finally:
+        spark.conf.set(key, whole)
+
+
 def brute_distance(pattern, text):
     row = list(range(len(pattern) + 1))
     best = row[-1]
