@@ -15,7 +15,8 @@ link between members of a bucket is lost. All comparisons are exact overlaps of
 the links.
 
 Defined cases: a text of one to four words is one shingle; null texts and texts without words
-resemble nothing, each is its own class; null ids count as the last of a class; repeated rows
+resemble nothing, each is its own class in :func:`classes`, while :func:`keep_one` takes them for
+equal and keeps one; null ids count as the last of a class; repeated rows
 are copies of each other; an empty table gives an empty result. Extra columns are ignored by
 :func:`classes` and kept by :func:`keep_one`.
 """
@@ -260,9 +261,11 @@ def _joined(tested, links, labels, new):
     return tested, links, components(links)
 
 
-def _classes(docs: DataFrame, text: str, doc_id: str, percent: int) -> DataFrame:
+def _classes(docs: DataFrame, text: str, doc_id: str, percent: int, empty_alike: bool = False) -> DataFrame:
     """Per row of a numbered table: _llm_id, doc_id, label of its class. Written."""
     rows = signed(docs, text, doc_id)
+    if empty_alike:
+        rows = rows.withColumn("key", F.coalesce("key", F.lit("").cast("binary")))
     nodes = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(ID).alias("node"))
     member = written(rows.join(nodes, "key", "left").select(
         ID, "doc_id", F.coalesce("node", ID).alias("node"), F.when(F.col("node") == F.col(ID), F.col("bands")).alias("bands")), "members")
@@ -283,7 +286,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 80) -> DataFrame:
     """One document of each class, the one of the smallest id, with all its columns."""
     kept = kept_numbers(docs)
-    rows = _classes(kept, text, doc_id, percent)
+    rows = _classes(kept, text, doc_id, percent, empty_alike=True)
     first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ID))).alias("first"),
                                       F.count(F.lit(1)).alias("n")).where("n > 1")
     dropped = written(rows.join(first.select("label", F.col(f"first.{ID}").alias("kept")), "label").where(f"{ID} != kept").select(ID), "copies")

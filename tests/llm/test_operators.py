@@ -243,6 +243,12 @@ def test_near_duplicates(spark, docs, empty, rows):
     assert bagminhash.classes(empty).count() == 0
 
 
+def test_one_text_without_words_stays(spark):
+    made = [(i, [None, "", " \n\t "][i % 3]) for i in range(3, 60)] + [(None, ""), (100, "one two"), (101, "one two"), (102, "three")]
+    frame = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in bagminhash.keep_one(frame).collect()) == [3, 100, 102]
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(1)
     value = words.mix(np.arange(60, dtype=np.uint64) + np.uint64(5))
