@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from doclake.llm import (
-    bagminhash, bilinear, decontaminate, host_rules, huffman, packing, passages, site_lines, slots, warc,
+    bagminhash, bilinear, decontaminate, host_rules, huffman, infill, packing, passages, site_lines, slots, warc,
 )
 from doclake.llm.common import ID, ROW, table
 
@@ -136,3 +136,22 @@ FROM (SELECT *, list_reduce(list_transform(string_split(regexp_replace(sha1(payl
   lambda h: right('0000' || bin(CAST(('0x' || h) AS INT)), 4)), lambda x, y: x || y) AS bits FROM sized) s JOIN firsts USING (payload)""")
 def op5_capture_index(spark, sf_dir):
     return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
+# Words with the white space before them, and white space at the end, as tokens.
+TOKEN = "[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+"
+
+
+@query("op13_roaring_fim", f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS text,
+  regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS w, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (SELECT *, len(w) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(w) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(w) + 1) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+    OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+   WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM texts),
+parts AS (SELECT *, coalesce(array_to_string(w[1:least(a, b)], ''), '') AS p, coalesce(array_to_string(w[least(a, b) + 1:greatest(a, b)], ''), '') AS m,
+  coalesce(array_to_string(w[greatest(a, b) + 1:], ''), '') AS s FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+  ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM parts""")
+def op13_roaring_fim(spark, sf_dir):
+    return infill.digests(infill.transform(table(spark, sf_dir, "documents"), columns=["doc_id"]))
