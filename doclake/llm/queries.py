@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from doclake.llm import (
-    bagminhash, bilinear, decontaminate, host_rules, huffman, infill, packing, passages, site_lines, slots, warc, whitening,
+    bagminhash, bilinear, compressed_language, decontaminate, host_rules, huffman, infill, packing, passages, site_lines, slots, warc, whitening,
 )
 from doclake.llm.common import ID, ROW, table
 
@@ -143,6 +143,11 @@ def op11_embedding_whitening(spark, sf_dir):
     return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings"), columns=["vec_id"]))
 
 
+@query("op12_compressed_language")
+def op12_compressed_language(spark, sf_dir):
+    return compressed_language.classify(table(spark, sf_dir, "documents"))
+
+
 # Words with the white space before them, and white space at the end, as tokens.
 TOKEN = "[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+"
 
