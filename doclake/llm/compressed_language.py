@@ -33,7 +33,7 @@ DICTIONARY_BYTES = 128 << 10
 TOTAL_BYTES = 64 << 20
 BLOCK = 4096
 LEVEL = 7
-OVERSAMPLE = 4
+OVERSAMPLE, LEAST_TEXTS = 4, 64
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
 RESULT = "struct<lang: string, score: double, margin: double>"
@@ -96,14 +96,16 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", dictionary_by
     facts = written(facts, "languages")
     size = min(dictionary_bytes, TOTAL_BYTES // max(1, facts.count()))
 
-    # First by hash to a few times what is needed, then to the bytes of the dictionary.
-    share = F.lit(OVERSAMPLE * size) / F.greatest(F.col("avg") * F.col("texts"), F.lit(1.0))
+    # First by hash to a few times what is needed, then to the bytes of the dictionary. Long texts are cut here
+    # already, so that a language of nothing else moves LEAST_TEXTS dictionaries at most.
+    share = F.greatest(F.lit(OVERSAMPLE * size) / F.greatest("avg", F.lit(1.0)), F.lit(LEAST_TEXTS)) / F.greatest("texts", F.lit(1))
     drawn = known.join(facts, "lang").where(F.shiftrightunsigned("h", 11) / F.lit(2.0**53) < share)
+    drawn = drawn.withColumn("text", F.substring("text", 1, size))
     texts = drawn.groupBy("lang", "h").agg(*[F.min(c).alias(c) for c in ("text", "bytes", "rows")])
     in_order = Window.partitionBy("lang").orderBy(F.col("bytes") > size // 8, "h")
     before = F.sum("bytes").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     sample = texts.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < size).select(
-        "lang", "rows", "before", F.substring("text", 1, size).alias("text")).collect()  # at most TOTAL_BYTES and a text a language
+        "lang", "rows", "before", "text").collect()  # at most TOTAL_BYTES and a text a language
 
     by_lang: dict[str, list] = {r["lang"]: [r["rows"], b""] for r in facts.select("lang", "rows").collect()}
     for r in sorted(sample, key=lambda r: r["before"]):

@@ -199,10 +199,10 @@ def whiten(df: DataFrame, vector: str = "embedding", scale: float = 256.0, compo
     model = fit(distinct, dim, components)
     done = written(whiten_distinct(distinct, model), "whitened")
 
-    k = len(model.variances)
-    means = done.agg(*[(F.sum(F.col("whitened")[i] * F.col("weight")) / model.n).alias(f"m{i}") for i in range(k)]).first() if k else ()
-    unit = covariance(done, "whitened", np.array(list(means), float), model.n) - np.eye(k)
-    error = float(np.abs(unit).max()) if k else 0.0
+    k, error = len(model.variances), 0.0
+    if k:
+        means = done.agg(*[(F.sum(F.col("whitened")[i] * F.col("weight")) / model.n).alias(f"m{i}") for i in range(k)]).first()
+        error = float(np.abs(covariance(done, "whitened", np.array(list(means)), model.n) - np.eye(k)).max())
 
     # A row finds its x by broadcast if that is frequent, else by a shuffle of narrow rows.
     results = done.select("key", "n_rows", "deviation", "whitened")
