@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from doclake.plans.paging import RankDirectory
+
 
 def free_sql(spark: SparkSession, query: str, tables: dict[str, DataFrame] | None = None, args=None) -> DataFrame:
     """Run one read-only statement over the given frames and the session catalog."""
@@ -37,9 +39,14 @@ def sample_rows(df: DataFrame, key: str, n: int = 5) -> DataFrame:
     return without_binary(df).orderBy(key).limit(n)
 
 
-def page_rows(df: DataFrame, key: str, page: int = 0, size: int = 10) -> DataFrame:
-    """Page ``page`` (from 0) of the table in key order."""
-    return without_binary(df).orderBy(key).offset(page * size).limit(size)
+def page_rows(df: DataFrame, key: str, page: int = 0, size: int = 10, ranks: RankDirectory | None = None) -> DataFrame:
+    """Page ``page`` (from 0) of the table in key order.
+
+    Without ``ranks`` all rows before the page are sorted as well; with the table's rank directory, which has to be
+    up to date, one range of keys and the rows of the page are read, whatever the number of the page.
+    """
+    shown = without_binary(df)
+    return shown.orderBy(key).offset(page * size).limit(size) if ranks is None else ranks.page(shown, page, size)
 
 
 def page_after(df: DataFrame, key: str, last_key, size: int = 10) -> DataFrame:
@@ -61,8 +68,9 @@ def table_profile(df: DataFrame, key: str) -> dict[str, DataFrame]:
     return {"columns": columns, "row_count": df.agg(F.count("*").alias("row_count")), "sample": sample_rows(df, key)}
 
 
-def page_table(df: DataFrame, key: str, page: int = 0, size: int = 10) -> dict[str, DataFrame]:
-    return {"rows": page_rows(df, key, page, size), "pages": page_count(df, size)}
+def page_table(df: DataFrame, key: str, page: int = 0, size: int = 10, ranks: RankDirectory | None = None) -> dict[str, DataFrame]:
+    pages = page_count(df, size) if ranks is None else ranks.page_count(size)
+    return {"rows": page_rows(df, key, page, size, ranks), "pages": pages}
 
 
 def _printable(df: DataFrame) -> DataFrame:
@@ -83,5 +91,5 @@ def export_csv(df: DataFrame, path: str) -> None:
     _printable(df).write.option("header", True).option("escape", '"').csv(path)
 
 
-def export_page_csv(df: DataFrame, key: str, path: str, page: int = 0, size: int = 10) -> None:
-    export_csv(page_rows(df, key, page, size), path)
+def export_page_csv(df: DataFrame, key: str, path: str, page: int = 0, size: int = 10, ranks: RankDirectory | None = None) -> None:
+    export_csv(page_rows(df, key, page, size, ranks), path)

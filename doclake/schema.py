@@ -47,4 +47,11 @@ PARENTS = {
 }
 # table -> the time by whose day its rows are stored, as partition column ``day``
 DAY = "day"
-DAY_OF = {"analytics_results": "created_date", "data_quality_metrics": "check_date"}
+DAY_OF = {"files": "upload_date", "analytics_results": "created_date", "data_quality_metrics": "check_date"}
+# table -> the column by whose hash its rows are stored in buckets: joins on it need no shuffle
+BUCKET_BY = {
+    "files": "file_id",
+    "processed_data": "data_id",
+    "analytics_results": "data_id",
+    "data_quality_metrics": "file_id",
+}

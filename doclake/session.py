@@ -89,9 +89,60 @@ def scratch():
             _delete(spark, path)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings that hold inside the block."""
+    old = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in old.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def _at(spark: SparkSession, name: str):
+    """A path and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path, system = _at(spark, folder)
+    system.delete(path, True)
+
+
+def exists(spark: SparkSession, name: str) -> bool:
+    path, system = _at(spark, name)
+    return system.exists(path)
+
+
+def make_folder(spark: SparkSession, folder: str) -> None:
+    path, system = _at(spark, folder)
+    system.mkdirs(path)
+
+
+def write_text(spark: SparkSession, name: str, text: str) -> None:
+    """A small file of settings beside tables."""
+    path, system = _at(spark, name)
+    out = system.create(path, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, name: str) -> str | None:
+    """The text of a small file; None where there is none."""
+    if not exists(spark, name):
+        return None
+    path, system = _at(spark, name)
+    stream = system.open(path)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
 
 
 def discard(df: DataFrame) -> None:

@@ -1,36 +1,135 @@
-"""Incremental ETL: new document files are analysed once, whenever the job runs."""
+"""Incremental ETL: every document is analysed once, as soon as its text and its processed file are both there."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql.streaming import StreamingQuery
+import datetime as dt
+import json
+
+from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from doclake import schema
 from doclake.operators import etl
+from doclake.session import discard, read_text, settings, write_text, written
 from doclake.sources.tables import TableStore
 
+# State of the documents that wait is kept in a store that spills, with a changelog in the checkpoint.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+_FILE = "filename string, file_type string"
+_TEXT = "data_id string, content_type string, extracted_text string"
+ARRIVAL = f"file_id string, {_FILE}, {_TEXT}"  # data_id is null for a processed file, not for a text
+DUE = ARRIVAL  # of a document that is due, all are known
+_due = Row(*[c.split()[0] for c in DUE.split(", ")])
+
+
+class _Partners(StatefulProcessor):
+    """Per file id: the processed file once it is known, texts that wait for it, and which texts are done.
+
+    A text that finds its file goes through; its words are in the state only while it waits.
+    """
+
+    def init(self, handle) -> None:
+        self.file = handle.getValueState("file", _FILE)
+        self.waiting = handle.getListState("waiting", _TEXT)
+        self.done = handle.getMapState("done", "data_id string", "seen boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        file = self.file.get() if self.file.exists() else None
+        arrived = None
+        for r in rows:
+            if r.data_id is None:
+                arrived = (r.filename, r.file_type)
+            elif not self.done.containsKey((r.data_id,)):
+                self.done.updateValue((r.data_id,), (True,))
+                if file is None:  # also where the file comes later in this batch: the order of rows says nothing
+                    self.waiting.appendValue((r.data_id, r.content_type, r.extracted_text))
+                else:
+                    yield _due(key[0], *file, r.data_id, r.content_type, r.extracted_text)
+        if arrived is not None:
+            self.file.update(arrived)
+            if self.waiting.exists():
+                for data_id, content_type, text in self.waiting.get():
+                    yield _due(key[0], *arrived, data_id, content_type, text)
+                self.waiting.clear()
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.done.updateValue((initialState.data_id,), (True,))
+
+    def close(self) -> None:
+        pass
+
+
+def arrivals(store: TableStore, files_per_batch: int | None = None) -> DataFrame:
+    """Rows of ``processed_data`` and processed ``files`` as they are appended, as one stream."""
+
+    def stream(name: str) -> DataFrame:
+        reader = store.spark.readStream.schema(schema.TABLES[name])
+        if files_per_batch:
+            reader = reader.option("maxFilesPerTrigger", files_per_batch)
+        return reader.parquet(store.path(name))
+
+    null = F.lit(None).cast("string")
+    texts = stream("processed_data").where("file_id IS NOT NULL AND data_id IS NOT NULL AND extracted_text IS NOT NULL").select(
+        "file_id", null.alias("filename"), null.alias("file_type"), "data_id", "content_type", "extracted_text")
+    files = stream("files").where("processed AND file_id IS NOT NULL").select(
+        "file_id", "filename", "file_type", null.alias("data_id"), null.alias("content_type"), null.alias("extracted_text"))
+    return texts.unionAll(files)
+
 
 def incremental_etl(store: TableStore, checkpoint: str, as_of: Column | None = None,
                     files_per_batch: int | None = None, available_now: bool = True) -> StreamingQuery:
     """Keep the analytics tables up to date as ``processed_data`` and ``files`` grow.
 
-    Arriving rows of either table start a batch. What is due is then decided on the keys of
-    the whole store, not of the batch: a text that came before its file's row, or whose file is
-    marked processed later, is analysed by the batch of that row. A batch that is replayed
-    after a failure adds nothing twice. Each batch reads all keys, but only the texts due.
+    A batch reads the rows that arrived and its state, nothing else of the store: a text that comes
+    before its file's row, or whose file is marked processed later, waits in the state and is analysed by
+    the batch of that row. What the store has analysed before the stream's first batch is its initial
+    state. A document that arrives twice is analysed once.
+
+    A batch that is run again after a failure repeats its rows and its time of creation, which are both in
+    the checkpoint; only then are rows that it had already stored looked up, in the folder of that day.
+    The checkpoint belongs to this query: one of an older, stateless version cannot be continued.
     """
-    spark = store.spark
+    spark, checkpoint = store.spark, checkpoint.rstrip("/")
 
-    def arriving(table: str, kind):
-        reader = spark.readStream.schema(kind)
-        if files_per_batch:
-            reader = reader.option("maxFilesPerTrigger", files_per_batch)
-        return reader.parquet(store.path(table)).select("file_id")
+    def analyse(batch: DataFrame, batch_id: int) -> None:
+        mark = f"{checkpoint}/stored/{batch_id}.json"
+        begun = json.loads(read_text(spark, mark) or "null")
+        if begun and begun["ended"]:
+            return
+        due = written(batch, "due")
+        try:
+            if due.isEmpty():
+                return
+            at = begun["at"] if begun else dt.datetime.now(dt.timezone.utc).isoformat()
+            if not begun:
+                write_text(spark, mark, json.dumps({"at": at, "ended": False}))
+            now = F.lit(at).cast("timestamp") if as_of is None else as_of
+            transformed = written(etl.etl_transform(due), "etl")
+            try:
+                _store(store, transformed, now, again=bool(begun))
+            finally:
+                discard(transformed)
+            write_text(spark, mark, json.dumps({"at": at, "ended": True}))
+        finally:
+            discard(due)
+
+    analysed = store.read("analytics_results").select("data_id").join(
+        store.read("processed_data").select("data_id", "file_id"), "data_id").where("file_id IS NOT NULL")
+    due = arrivals(store, files_per_batch).groupBy("file_id").transformWithState(
+        _Partners(), DUE, "Append", "None", initialState=analysed.groupBy("file_id"))
+    writer = due.writeStream.foreachBatch(analyse).option("checkpointLocation", checkpoint)
+    with settings(spark, STATE):
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
 
-    def analyse(batch, batch_id: int) -> None:
-        etl.etl_run(store, as_of=as_of)
 
-    rows = arriving("processed_data", schema.PROCESSED_DATA).unionAll(arriving("files", schema.FILES))
-    writer = rows.writeStream.foreachBatch(analyse).option("checkpointLocation", checkpoint)
-    writer = writer.trigger(availableNow=True) if available_now else writer
-    return writer.start()
+def _store(store: TableStore, transformed: DataFrame, now: Column, again: bool) -> None:
+    """Append metrics and analytics of one batch; ``again``: some of them may be there from a first attempt."""
+    for name, rows in (("data_quality_metrics", etl.quality_rows(transformed, now)), ("analytics_results", etl.analytics_rows(transformed, now))):
+        if again:
+            key = schema.KEYS[name]
+            there = store.read(name).where(F.col(schema.DAY) == F.to_date(now)).select(key)
+            rows = rows.join(there, key, "left_anti")
+        store.append(name, rows)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from doclake.functions import fixed as X
+from doclake.session import shared_folder
+from doclake.sources.tables import TableStore
 from suite.derived import AS_OF, load, view, with_views
 
 
@@ -47,6 +50,14 @@ def query(name: str, sql: str | None = None, hosts: int = 1):
     return register
 
 
+def filled_store(t: Tables, *names: str) -> TableStore:
+    """A new store in the shared folder, holding the derived tables."""
+    store = TableStore(t.spark, f"{shared_folder(t.spark)}/doclake/store-{uuid.uuid4().hex}").create_tables()
+    for name in names:
+        store.append(name, getattr(t, name))
+    return store
+
+
 def as_of():
     return F.lit(AS_OF).cast("timestamp")
 

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 from doclake.functions import text as TX
 from doclake.operators import etl, insights, quality as Q
 from doclake.plans import explorer as E, reporting as R
+from doclake.plans.paging import RankDirectory
 from doclake.session import shared_folder
 from doclake.sources import ingest, tables as S
-from suite.catalog import NOW, QUERIES, as_of, query, rounded
+from suite.catalog import NOW, QUERIES, as_of, filled_store, query, rounded
 
 # ------------------------------------------------------------------- scans and filters
 
@@ -79,6 +80,15 @@ def _(t):
     return S.reset_processed(t.files).select("file_id", "processed")
 
 
+@query("stored_flags", """
+SELECT file_id, EXISTS (SELECT 1 FROM processed_data p WHERE p.file_id = files.file_id) AS processed, CAST(upload_date AS DATE) AS day FROM files""")
+def _(t):
+    store = filled_store(t, "files", "processed_data")
+    store.reset_processed()
+    store.set_processed()
+    return store.read("files").select("file_id", "processed", "day")
+
+
 # ------------------------------------------------------------------------------- joins
 
 
@@ -342,6 +352,40 @@ def _(t):
     return long_frame({"page_rows": frames["rows"], "page_count": frames["pages"]})
 
 
+# The first pages, one in the middle, the last one and the one behind it.
+PAGES = """pages AS (SELECT unnest([0, 1, n // 50, (n - 1) // 25, (n - 1) // 25 + 1]) AS page FROM (SELECT count(*) AS n FROM orders)),
+numbered AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders)"""
+
+
+def _ranks(t):
+    folder = f"{shared_folder(t.spark)}/doclake/ranks-{uuid.uuid4().hex}"
+    return RankDirectory(t.spark, folder, "o_orderkey").refresh(t.orders)
+
+
+@query("page_by_rank", f"""WITH {PAGES} SELECT DISTINCT page, o_orderkey, o_totalprice FROM numbered JOIN pages ON place // 25 = page""")
+def _(t):
+    ranks = _ranks(t)
+    n = ranks.rows()
+    rows = t.orders.select("o_orderkey", "o_totalprice")
+    pages = sorted({0, 1, n // 50, (n - 1) // 25, (n - 1) // 25 + 1})
+    return reduce(DataFrame.unionAll, [
+        E.page_rows(rows, "o_orderkey", p, 25, ranks).select(F.lit(p).cast("bigint").alias("page"), "*") for p in pages])
+
+
+@query("page_count_by_rank", "SELECT count(*) AS row_count, CAST(ceil(count(*) / 25.0) AS BIGINT) AS total_pages FROM orders")
+def _(t):
+    return E.page_table(t.orders, "o_orderkey", 0, 25, _ranks(t))["pages"]
+
+
+@query("export_page_csv", f"""WITH {PAGES} SELECT o_orderkey, o_orderpriority, o_totalprice FROM numbered
+WHERE place // 25 = (SELECT max(page) - 1 FROM pages)""")
+def _(t):
+    ranks, path = _ranks(t), f"{shared_folder(t.spark)}/doclake/page-{uuid.uuid4().hex}"
+    rows = t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice")
+    E.export_page_csv(rows, "o_orderkey", path, (ranks.rows() - 1) // 25, 25, ranks)
+    return t.spark.read.option("header", True).schema(rows.schema).csv(path)
+
+
 # -------------------------------------------------------------------------- key checks
 
 

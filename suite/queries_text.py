@@ -6,8 +6,7 @@ from doclake.functions import fixed as X, scalars as SC, text as TX, urls as U
 from doclake.operators import etl, quality as Q, sentiment
 from doclake.plans import reporting as R
 from doclake.sources import ingest as I
-from suite.catalog import ALL_WS, LB, NOW, TEXTS, WS, as_of, count_of, query, rounded, sql_list
-from suite.catalog import Tables
+from suite.catalog import ALL_WS, LB, NOW, TEXTS, WS, Tables, as_of, count_of, filled_store, query, rounded, sql_list
 
 T = "extracted_text"
 
@@ -248,19 +247,6 @@ def _(t):
     return etl.quality_rows(etl.etl_transform(due(t)), as_of()).drop("metric_id")
 
 
-def _filled_store(t: Tables):
-    """A fresh store in the shared folder, holding the derived tables."""
-    import uuid
-
-    from doclake.session import shared_folder
-    from doclake.sources.tables import TableStore
-
-    store = TableStore(t.spark, f"{shared_folder(t.spark)}/doclake/store-{uuid.uuid4().hex}").create_tables()
-    for name in ("files", "processed_data", "analytics_results"):
-        store.append(name, getattr(t, name))
-    return store
-
-
 RUN = f"""WITH {DUE} SELECT check_type, status, count(*) AS count,
  round(avg(check_value), 6) AS avg_value FROM ({checked('due')}) GROUP BY check_type, status"""
 
@@ -274,7 +260,7 @@ def _loaded(store):
 # The second run finds nothing to do, so the metrics are those of one run.
 @query("etl_run", RUN)
 def _(t):
-    store = _filled_store(t)
+    store = filled_store(t, "files", "processed_data", "analytics_results")
     etl.etl_run(store)
     etl.etl_run(store)
     return _loaded(store)
@@ -284,7 +270,7 @@ def _(t):
 def _(t):
     from doclake.streaming.incremental import incremental_etl
 
-    store = _filled_store(t)
+    store = filled_store(t, "files", "processed_data", "analytics_results")
     for _ in range(2):
         incremental_etl(store, f"{store.root}/checkpoint").awaitTermination()
     return _loaded(store)
