@@ -11,7 +11,6 @@ from doclake import schema
 from doclake.plans.paging import RankDirectory
 from doclake.session import discard, exists, make_folder, read_text, settings, write_text, written
 
-BUCKETS = 16
 # Partitions are found by listing the folder, so what other sessions append is seen without a repair.
 _LISTED = {"spark.sql.hive.manageFilesourcePartitions": "false"}
 
@@ -22,21 +21,22 @@ class TableStore:
     Each table is a folder below the root, known to the session's catalog as an external table. Its rows
     are in ``buckets`` buckets by the hash of its join key (``schema.BUCKET_BY``), so joins and anti-joins
     on these keys read bucket beside bucket and shuffle nothing. The number is fixed when the store is
-    created and kept beside the tables; choose it so that a bucket's keys fit in a task (about one
-    bucket for every GB of a table). What a session appends is dealt to the buckets first: that is one
-    shuffle of new rows instead of one of all keys for every later batch.
+    created and kept beside the tables. It is what the session shuffles into, unless given: a large store wants
+    about one bucket for every GB of a table, a small one few, since each append writes a file per day and bucket.
+    What a session appends is dealt to the buckets first: that is one shuffle of new rows instead of one
+    of all keys for every later batch.
 
     Files and results are stored by day as well (``schema.DAY_OF``): reports of recent days read only these
     days' folders, and a change of flags rewrites only the days it concerns. Reading such a table
     gives the column ``day`` behind its own columns.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
         self.spark, self.root = spark, root.rstrip("/")
         kept = read_text(spark, f"{self.root}/_layout.json")
         if kept is None and exists(spark, f"{self.root}/files"):
             raise ValueError(f"the tables in {self.root} are of an earlier layout; append their rows to a new store")
-        self.buckets = json.loads(kept)["buckets"] if kept else buckets
+        self.buckets = json.loads(kept)["buckets"] if kept else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self._database = "doclake_" + hashlib.md5(f"{self.root} {self.buckets}".encode()).hexdigest()
         self._known: set[str] = set()
 

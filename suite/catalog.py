@@ -52,7 +52,7 @@ def query(name: str, sql: str | None = None, hosts: int = 1):
 
 def filled_store(t: Tables, *names: str) -> TableStore:
     """A new store in the shared folder, holding the derived tables."""
-    store = TableStore(t.spark, f"{shared_folder(t.spark)}/doclake/store-{uuid.uuid4().hex}").create_tables()
+    store = TableStore(t.spark, f"{shared_folder(t.spark)}/doclake/store-{uuid.uuid4().hex}", buckets=8).create_tables()
     for name in names:
         store.append(name, getattr(t, name))
     return store
