@@ -15,14 +15,15 @@ from doclake.functions import scalars as SC, text as TX, urls as U
 from doclake.session import written
 
 # --- fixed values: tags of the HTML standard with a special role ----------------
-VOID_TAGS = set(
-    "area base br col embed hr img input keygen link menuitem meta param source track wbr "
-    "basefont bgsound command frame image isindex nextid spacer".split()
-)
+VOID_TAGS = {
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link", "menuitem", "meta", "param", "source",
+    "track", "wbr", "basefont", "bgsound", "command", "frame", "image", "isindex", "nextid", "spacer",
+}
 REMOVED_TAGS = {"script", "style"}
 UNPRINTED_TAGS = {"template", "rt", "rp"}
 VERBATIM_TAGS = {"pre", "textarea"}
 
+NO_LIMIT, DEFAULT_PAGES = 1 << 62, 50  # pages of a source
 LINK = T.StructType([T.StructField("url", T.StringType()), T.StructField("internal", T.BooleanType())])
 PARSED = T.StructType([
     T.StructField("title", T.StringType()), T.StructField("raw_text", T.StringType()),
@@ -234,7 +235,8 @@ def crawl_many(sources: DataFrame, pages: DataFrame, max_depth: int | None = Non
                follow_external: bool = False, visited: DataFrame | None = None) -> DataFrame:
     """Breadth-first crawl of a page table from several sources, all advancing together.
 
-    ``sources``: source_name, base_url, max_pages, allowed_domains (NULL: the base's host).
+    ``sources``: source_name, base_url, max_pages (NULL: no limit; without the column 50 each), allowed_domains (NULL:
+    the base's host).
     ``visited``: optional source_name, url of an earlier crawl, not to be fetched again.
 
     One round of jobs per level. A level in queue order is the links of the level before,
@@ -247,8 +249,9 @@ def crawl_many(sources: DataFrame, pages: DataFrame, max_depth: int | None = Non
     """
     spark = pages.sparkSession
     base_host = U.url_host("base_url")
+    limit = F.coalesce(F.col("max_pages").cast("long"), F.lit(NO_LIMIT)) if "max_pages" in sources.columns else F.lit(DEFAULT_PAGES).cast("long")
     config = sources.where(F.col("base_url").isNotNull()).select(
-        "source_name", "base_url", F.coalesce("max_pages", F.lit(50)).cast("long").alias("max_pages"),
+        "source_name", "base_url", limit.alias("max_pages"),
         F.coalesce("allowed_domains", F.array(base_host)).alias("allowed"),
     )
 
@@ -336,7 +339,7 @@ def _ranked(level: DataFrame) -> DataFrame:
     return ordered.join(sources, "source_name").withColumn("_n", F.col("_place") + before).drop("_place", "_ranges")
 
 
-def crawl_website(pages: DataFrame, base_url: str, max_pages: int = 50, allowed_domains: list[str] | None = None,
+def crawl_website(pages: DataFrame, base_url: str, max_pages: int | None = DEFAULT_PAGES, allowed_domains: list[str] | None = None,
                   max_depth: int | None = None, follow_external: bool = False,
                   visited: DataFrame | None = None) -> DataFrame:
     """Crawl one site; the base URL itself need not be on an allowed host."""

@@ -9,6 +9,7 @@ from doclake.functions import fixed as X, scalars as SC, text as TX
 from doclake.plans.reporting import upload_summary
 from doclake.session import discard, written
 from doclake.sources.documents import read_document
+from doclake.sources.parts import PART_BYTES, plain_path, read_parts
 from doclake.sources.tables import TableStore
 
 # Categories whose files may need a Python reader; all others are plain expressions.
@@ -19,11 +20,27 @@ MAX_BYTES = 1 << 30  # of a file whose content is read as one value
 def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Every file below a folder: path, modificationTime, length, content.
 
-    The content of a file above ``max_bytes`` is null; it is never read.
+    The content of a file above ``max_bytes`` is null; it is never read. Files without a byte have an empty
+    content, and no time: scans pass over them, only the listing of the folder has them.
     """
     every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     large = every.where(F.col("length") > max_bytes).withColumn("content", F.lit(None).cast("binary"))
-    return every.where(F.col("length") <= max_bytes).unionAll(large)
+    rows = every.where(F.col("length") <= max_bytes).unionAll(large)
+    empty = _empty_files(every)
+    return rows if empty is None else rows.unionByName(empty)
+
+
+def _empty_files(every: DataFrame) -> DataFrame | None:
+    """The files that a listing names and a scan does not; None without any. No content is read for it."""
+    spark = every.sparkSession
+    listed = spark.createDataFrame([(f,) for f in every.inputFiles()], "uri string")
+    missed = listed.select(plain_path(F.col("uri")).alias("path")).join(every.select("path"), "path", "left_anti")
+    found = written(missed, "empty-files")
+    if found.isEmpty():
+        discard(found)
+        return None
+    return found.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length"),
+                        F.lit(b"").alias("content"))
 
 
 def read_csv_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -53,8 +70,7 @@ def image_texts(spark: SparkSession, path: str) -> DataFrame:
     """path and text (format, size, colour mode) of every image below a folder that can be decoded."""
     names = ",".join(e[1:] + "," + e[1:].upper() for e in X.FILE_CATEGORIES["images"])
     found = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{names}}}").load(path)
-    # Origins are encoded URIs, other sources give plain paths.
-    origin = F.regexp_replace(F.url_decode(F.replace("image.origin", F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+    origin = plain_path(F.col("image.origin"))  # other sources give plain paths
     kind = F.replace(F.replace(F.upper(F.regexp_extract("path", "[.]([^.]+)$", 1)), F.lit("JPG"), F.lit("JPEG")), F.lit("TIFF"), F.lit("TIF"))
     mode = F.when(F.col("channels") == 1, "L").when(F.col("channels") == 4, "RGBA").otherwise("RGB")
     return found.select(origin.alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"),
@@ -139,11 +155,39 @@ def extract_content(files: DataFrame, images: DataFrame | None = None) -> DataFr
     )
 
 
+def has_parts(max_bytes: int = MAX_BYTES) -> Column:
+    """Whether a row of ``files`` is a text or CSV file that is read in parts."""
+    return (F.col("file_size") > max_bytes) & ((SC.file_category("file_type") == "text") | (F.col("file_type") == ".csv"))
+
+
+def extract_parts(files: DataFrame, paths: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """What :func:`extract_content` gives, and ``part``, of text and CSV files above the limit.
+
+    ``files``: their rows; ``paths``: file_id and path. A file gives one row per part, in the order of
+    ``part``; the texts of its parts, put together, are its text, and a word or a CSV record is never cut.
+    """
+    due = files.select("file_id", "file_type", SC.file_category("file_type").alias("content_type")).join(paths, "file_id")
+    due = due.select("path", "file_id", "file_type", "content_type").collect()  # one row per file above the limit
+    spark = files.sparkSession
+    rows = spark.createDataFrame([tuple(r) for r in due], "path string, file_id string, file_type string, content_type string")
+    if not due:
+        return rows.select("file_id", "content_type", *[F.lit(None).cast(t).alias(c) for c, t in (
+            ("extracted_text", "string"), ("extract_status", "string"), ("extract_error", "string"), ("part", "long"))])
+    is_csv = F.lower(F.substring("path", -4, 4)) == ".csv"
+    parts = read_parts(spark, [r["path"] for r in due], is_csv, part_bytes).join(rows, "path")
+    text = F.when(is_csv, csv_text(F.col("extracted_text"))).otherwise(F.col("extracted_text"))
+    return parts.select("file_id", "content_type", text.alias("extracted_text"),
+                        F.when(F.col("extract_error").isNull(), "ok").otherwise("error").alias("extract_status"), "extract_error", "part")
+
+
 def processed_rows(extracted: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """Rows for ``processed_data``; failed extractions give none."""
+    """Rows for ``processed_data``; failed extractions give none. A part of a file is a row of its own."""
     text = "extracted_text"
+    data_id = SC.stable_id("file_id", prefix="data")
+    if "part" in extracted.columns:
+        data_id = F.when(F.col("part").isNull(), data_id).otherwise(SC.stable_id("file_id", "part", prefix="data"))
     return extracted.where(F.col("extract_status") == "ok").select(
-        SC.stable_id("file_id", prefix="data").alias("data_id"), "file_id", "content_type", text,
+        data_id.alias("data_id"), "file_id", "content_type", text,
         TX.word_count(text).alias("word_count"), TX.char_count(text).alias("char_count"),
         (F.current_timestamp() if as_of is None else as_of).alias("processing_date"),
     )
@@ -159,25 +203,28 @@ def extraction_results(extracted: DataFrame) -> DataFrame:
     )
 
 
-def ingest(store: TableStore, path: str, source_type: str = "upload", as_of: Column | None = None) -> DataFrame:
+def ingest(store: TableStore, path: str, source_type: str = "upload", as_of: Column | None = None,
+           max_bytes: int = MAX_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """Ingest a folder into the store; returns the number of files per status.
 
     Texts are written first and ``files`` rows, with their processed flag, last. Files that
-    are already in the store are left alone, so an interrupted run can be repeated.
+    are already in the store are left alone, so an interrupted run can be repeated. A text or CSV
+    file above ``max_bytes`` has a row of ``processed_data`` for each of its parts.
 
-    File contents are never shuffled for a small list: which files are new, and which of
-    them failed, are narrow tables written first, so that the planner knows their size and
-    broadcasts them to the content scan.
+    Which files are new, and which of them failed, are narrow tables written first, so that the planner
+    knows their size and broadcasts them to the content scan. Contents are shuffled once, by the store.
     """
-    raw = read_files(store.spark, path)
+    raw = read_files(store.spark, path, max_bytes)
     new, parts = ingest_files(raw, source_type, as_of), []
-    images = image_texts(store.spark, path).join(raw.select(file_id().alias("file_id"), "path"), "path").select("file_id", "text")
+    paths = raw.select(file_id().alias("file_id"), "path")
+    images = image_texts(store.spark, path).join(paths, "path").select("file_id", "text")
     known = store.read("files").select("file_id")
     if not known.isEmpty():
         ids = written(new.select("file_id").join(known, "file_id", "left_anti"), "new-files")
         parts.append(ids)
         new = new.join(ids, "file_id", "left_semi")
-    extracted = written(extract_content(new, images), "extracted")
+    whole = extract_content(new.where(~has_parts(max_bytes)), images).withColumn("part", F.lit(None).cast("long"))
+    extracted = written(whole.unionByName(extract_parts(new.where(has_parts(max_bytes)), paths, part_bytes)), "extracted")
     failed = written(extracted.where(F.col("extract_status") != "ok").select("file_id"), "failed-files")
     parts += [extracted, failed]
     try:
@@ -186,7 +233,7 @@ def ingest(store: TableStore, path: str, source_type: str = "upload", as_of: Col
         store.append("processed_data", texts.join(have, "data_id", "left_anti"))
         flagged = new.drop("processed").join(failed.withColumn("_failed", F.lit(True)), "file_id", "left")
         store.append("files", flagged.withColumn("processed", F.col("_failed").isNull()))
-        summary = upload_summary(extracted).collect()  # one row per status
+        summary = upload_summary(extracted.where("part IS NULL OR part = 0")).collect()  # one row per status
         return store.spark.createDataFrame(summary, "extract_status string, count long")
     finally:
         for part in parts:

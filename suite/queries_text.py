@@ -366,13 +366,13 @@ def _size_sql(x: str) -> str:
     return f"CASE WHEN {x} = 0 THEN '0 B' {cases} ELSE concat(format('{{{{:.2f}}}}', {x} / {1024.0 ** 4}), ' TB') END".replace("{{", "{").replace("}}", "}")
 
 
-@query("format_file_size", f"""SELECT doc_id, {_size_sql('CAST(n_chars - n_chars % 128 AS DOUBLE)')} AS bytes,
+@query("format_file_size", f"""SELECT doc_id, {_size_sql('CAST(n_chars AS DOUBLE)')} AS bytes,
  {_size_sql('CAST(n_chars AS DOUBLE) * 1000')} AS thousands, {_size_sql('CAST(n_chars AS DOUBLE) * 1000000')} AS millions,
  {_size_sql('CAST(n_chars AS DOUBLE) * 1000000000000')} AS huge FROM documents""")
 def _(t):
     n = F.col("n_chars").cast("double")
     return t.documents.select(
-        "doc_id", SC.format_file_size(F.col("n_chars") - F.col("n_chars") % 128).alias("bytes"),
+        "doc_id", SC.format_file_size("n_chars").alias("bytes"),
         SC.format_file_size(n * 1000).alias("thousands"), SC.format_file_size(n * 1000000).alias("millions"),
         SC.format_file_size(n * 1000000000000).alias("huge"),
     )

@@ -200,3 +200,95 @@ def test_free_sql(spark):
             E.free_sql(spark, bad)
     with pytest.raises(Exception):
         E.free_sql(spark, "SELECT 1; DROP TABLE t")
+
+
+def test_files_without_a_byte_are_rows(spark, tmp_path):
+    (tmp_path / "in/sub").mkdir(parents=True)
+    for name in ("in/a.txt", "in/sub/a +%b ü.csv", "in/e.docx", "in/sub/z.zip"):
+        (tmp_path / name).write_bytes(b"")
+    (tmp_path / "in/b.txt").write_text("some words")
+    raw = I.read_files(spark, str(tmp_path / "in"))
+    assert {r["path"].rsplit("/", 1)[-1]: (r["length"], bytes(r["content"])) for r in raw.collect()} == {
+        "a.txt": (0, b""), "a +%b ü.csv": (0, b""), "e.docx": (0, b""), "z.zip": (0, b""), "b.txt": (10, b"some words")}
+    store = TableStore(spark, str(tmp_path / "store"), buckets=2).create_tables()
+    assert {r[0]: r[1] for r in I.ingest(store, str(tmp_path / "in")).collect()} == {"ok": 4, "error": 1}  # an office file has to be an archive
+    assert I.ingest(store, str(tmp_path / "in")).count() == 0
+    files = {r["filename"]: r for r in store.read("files").collect()}
+    texts = {r["file_id"]: r for r in store.read("processed_data").collect()}
+    empty = texts[files["a.txt"]["file_id"]]
+    assert (empty["extracted_text"], empty["word_count"], empty["char_count"]) == ("", 0, 0) and files["a.txt"]["file_size"] == 0
+    (tmp_path / "none").mkdir()
+    assert I.read_files(spark, str(tmp_path / "none")).count() == 0
+
+
+LARGE = {
+    "lines.txt": "".join(f"line {i} ünd 🙂 more\r\n" if i % 3 else "\n" for i in range(4000)),
+    "noend.txt": "word " * 300 + "\n" + "last line",
+    "bom.txt": "﻿" + "a b c\n" * 900,
+    "bom2.txt": "﻿" + "a b c\n" * 900 + "x",
+    "quoted.csv": "k,v\n" + "".join(f'{i},"a ""x"" {i}\nsecond, line\n\nthird"\r\n' if i % 5 == 0 else f"{i},plain {i}\n" for i in range(1500)),
+    "one.csv": 'k,"' + "all in one cell\n" * 1000 + '"\nend,"x"',
+    "open.csv": "k,v\n" + 'x,"never closed\n' + "1,2\n" * 800,
+}
+
+
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_large_texts_in_parts_equal_the_whole(spark, tmp_path, small_splits):
+    """With a small limit every file is read in parts; the parts put together are what one value would be."""
+    (tmp_path / "in/sub").mkdir(parents=True)
+    for name, text in LARGE.items():
+        (tmp_path / "in/sub" / ("a +%b ü " + name)).write_bytes(text.encode())
+    (tmp_path / "in/bad.txt").write_bytes(b"fine\n" * 500 + b"\xff\xfe\n" + b"fine\n" * 500)
+    (tmp_path / "in/small.txt").write_text("small\n")
+    folder = str(tmp_path / "in")
+    whole, cut = (TableStore(spark, str(tmp_path / n), buckets=2).create_tables() for n in ("whole", "cut"))
+    a = {r[0]: r[1] for r in I.ingest(whole, folder).collect()}
+    b = {r[0]: r[1] for r in I.ingest(cut, folder, max_bytes=1000, part_bytes=3000).collect()}
+    assert a == b == {"ok": len(LARGE) + 1, "error": 1}
+
+    def texts(store):
+        rows = store.read("processed_data").join(store.read("files").select("file_id", "filename"), "file_id").collect()
+        out = {}
+        for r in rows:
+            out.setdefault(r["filename"], []).append(r)
+        return out
+
+    want, got = texts(whole), texts(cut)
+    assert want.keys() == got.keys() and len(got["small.txt"]) == 1
+    for name in LARGE:
+        name = "a +%b ü " + name
+        for count in ("word_count", "char_count"):
+            assert sum(r[count] for r in got[name]) == want[name][0][count], (name, count)
+        assert "bad.txt" not in got
+        assert len(got[name]) > 1 or name.endswith(("one.csv", "open.csv", "noend.txt"))
+    paths = [str(tmp_path / "in/sub" / ("a +%b ü " + n)) for n in LARGE]
+    csv = F.col("path").endswith(".csv")
+    parts = I.read_parts(spark, paths, csv, 3000).orderBy("path", "part").collect()
+    for name, text in LARGE.items():
+        own = [r for r in parts if r["path"].endswith("ü " + name)]
+        assert [r["part"] for r in own] == list(range(len(own)))
+        assert "".join(r["extracted_text"] for r in own) == text
+    quoted = [r["extracted_text"] for r in parts if r["path"].endswith("quoted.csv")]
+    assert len(quoted) > 5 and all(t.count('"') % 2 == 0 for t in quoted)
+
+
+def test_lines_that_no_value_can_hold_are_errors(spark, tmp_path, monkeypatch):
+    from doclake.sources import parts
+
+    monkeypatch.setattr(parts, "MAX_LINE", 1000)
+    monkeypatch.setattr(parts, "MAX_RECORD", 2000)
+    (tmp_path / "long.txt").write_text("short\n" + "x" * 5000 + "\nshort\n")
+    (tmp_path / "cell.csv").write_text('k,"' + "in a cell\n" * 900 + '"\n')
+    (tmp_path / "good.txt").write_text("short\n" * 900)
+    rows = parts.read_parts(spark, [str(p) for p in tmp_path.iterdir()], F.col("path").endswith(".csv"), 500).collect()
+    errors = {os.path.basename(r["path"]): r["extract_error"] for r in rows if r["extract_error"]}
+    assert errors == {"long.txt": "a line of more than 1000 bytes", "cell.csv": "a quoted cell of more than 2000 bytes"}
+    assert "".join(r["extracted_text"] for r in sorted((r for r in rows if r["path"].endswith("good.txt")), key=lambda r: r["part"])) == "short\n" * 900

@@ -143,12 +143,22 @@ def test_many_sources(spark, site):
         assert [r["url"] for r in rows] == want
     summary = {r["source_name"]: (r["success"], r["pages_crawled"], r["error"]) for r in W.crawl_source_summary(sources, crawled).collect()}
     assert summary["h"] == (True, 3, None) and summary["none"] == (True, 0, None) and summary["bad"] == (False, 0, "'base_url'")
+    default = W.crawl_many(sources.drop("max_pages"), site)  # 50 pages of each source
+    assert [r["url"] for r in default.where("source_name = 'h'").orderBy("crawl_rank").collect()] == queue_crawl("http://h/", 50)
     total = W.crawl_summary(crawled).first()
     assert total["pages_crawled"] == crawled.count() and total["total_words"] > 0
     shown = W.crawl_results(crawled.limit(1)).first()
     assert shown["title"] == "t" and set(shown.asDict()) == {"title", "url", "word_count", "links"}
 
 
+def test_a_source_without_a_limit_is_crawled_to_its_end(spark):
+    chain = spark.range(70).select(F.col("id").alias("page_id"), F.format_string("http://w/%d", F.col("id")).alias("url"), F.when(
+        F.col("id") == 0, "".join(f'<a href="/{i}">x</a>' for i in range(70))).otherwise("end").alias("html"))
+    sources = spark.createDataFrame([("w", "http://w/0", None)], "source_name string, base_url string, max_pages int")
+    assert W.crawl_many(sources, chain).count() == 70 and W.crawl_many(sources.drop("max_pages"), chain).count() == 50
+    assert W.crawl_website(chain, "http://w/0", max_pages=None).count() == 70
+
+
 def test_store_pages(spark, site):
     files, processed = W.store_pages(W.parse_pages(site, keep=("page_id", "html")))
     assert files.count() == processed.count() == len(GRAPH)
