@@ -154,7 +154,7 @@ def test_many_sources(spark, site):
 def test_a_source_without_a_limit_is_crawled_to_its_end(spark):
     chain = spark.range(70).select(F.col("id").alias("page_id"), F.format_string("http://w/%d", F.col("id")).alias("url"), F.when(
         F.col("id") == 0, "".join(f'<a href="/{i}">x</a>' for i in range(70))).otherwise("end").alias("html"))
-    sources = spark.createDataFrame([("w", "http://w/0", None)], "source_name string, base_url string, max_pages int")
+    sources = spark.createDataFrame([("w", "http://w/0", None, None)], "source_name string, base_url string, max_pages int, allowed_domains array<string>")
     assert W.crawl_many(sources, chain).count() == 70 and W.crawl_many(sources.drop("max_pages"), chain).count() == 50
     assert W.crawl_website(chain, "http://w/0", max_pages=None).count() == 70
 
