@@ -80,7 +80,7 @@ def _printable(df: DataFrame) -> DataFrame:
         c = F.col(f.name)
         if isinstance(f.dataType, T.BinaryType):
             c = F.base64(c)
-        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
             c = F.to_json(c)
         shown.append(c.alias(f.name))
     return df.select(*shown)

@@ -163,10 +163,17 @@ def quality_band(scores: DataFrame, target: float = 90.0) -> DataFrame:
 # --------------------------------------------------------------------------- analytics
 
 
+def result_number(analytics_results: DataFrame, field: str) -> Column:
+    """A number of the analysis, by its path where the table has the parsed results, else from the JSON text."""
+    if "parsed_results" in analytics_results.columns:
+        return F.try_variant_get("parsed_results", f"$.{field}", "double")
+    return SC.json_field("results", field)
+
+
 def insight_averages(analytics_results: DataFrame) -> DataFrame:
     return analytics_results.agg(
-        F.avg(SC.json_field("results", "word_count")).alias("avg_word_count"),
-        F.avg(SC.json_field("results", "sentiment_score")).alias("avg_sentiment"),
+        F.avg(result_number(analytics_results, "word_count")).alias("avg_word_count"),
+        F.avg(result_number(analytics_results, "sentiment_score")).alias("avg_sentiment"),
         F.avg("confidence_score").alias("avg_confidence"),
     )
 
@@ -200,8 +207,8 @@ def analytics_metrics(analytics_results: DataFrame, as_of: Column | None = None)
         F.col("created_date") >= _now(as_of) - F.make_dt_interval(F.lit(7)), SC.to_day("created_date")
     )
     return analytics_results.agg(
-        F.avg(SC.json_field("results", "word_count")).alias("avg_word_count"),
-        F.avg(SC.json_field("results", "sentiment_score")).alias("avg_sentiment"),
+        F.avg(result_number(analytics_results, "word_count")).alias("avg_word_count"),
+        F.avg(result_number(analytics_results, "sentiment_score")).alias("avg_sentiment"),
         F.avg("confidence_score").alias("avg_confidence"),
         F.count("*").alias("total_analyses"),
         F.size(F.collect_set(day)).cast("bigint").alias("active_days"),

@@ -8,7 +8,7 @@ def _table(*columns: tuple[str, T.DataType]) -> T.StructType:
 
 
 S, L, I, D = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType()
-TS, B, BIN = T.TimestampType(), T.BooleanType(), T.BinaryType()
+TS, B, BIN, V = T.TimestampType(), T.BooleanType(), T.BinaryType(), T.VariantType()
 
 FILES = _table(
     ("file_id", S), ("filename", S), ("file_type", S), ("file_size", L), ("source_type", S),
@@ -21,6 +21,7 @@ PROCESSED_DATA = _table(
 ANALYTICS_RESULTS = _table(
     ("analysis_id", S), ("data_id", S), ("analysis_type", S), ("results", S), ("insights", S),
     ("confidence_score", D), ("created_date", TS),
+    ("parsed_results", V),  # ``results``, parsed once when the row is stored
 )
 DATA_QUALITY_METRICS = _table(
     ("metric_id", S), ("file_id", S), ("check_type", S), ("check_value", D), ("threshold", D),

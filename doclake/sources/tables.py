@@ -8,6 +8,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from doclake import schema
+from doclake.functions import scalars as SC
 from doclake.plans.paging import RankDirectory
 from doclake.session import discard, exists, make_folder, read_text, settings, write_text, written
 
@@ -134,10 +135,11 @@ def _in_days(days: list) -> Column:
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
-    """The columns of the table in order; what the frame lacks is NULL."""
+    """The columns of the table in order; what the frame lacks is NULL, or made of what it has."""
+    made = {"parsed_results": SC.parse_json_safe("results")} if "results" in df.columns else {}
     return df.select(
         *[
-            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            (F.col(f.name) if f.name in df.columns else made.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name)
             for f in schema.TABLES[name].fields
         ]
     )
