@@ -23,6 +23,8 @@ are copies of each other; an empty table gives an empty result. Extra columns ar
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -97,21 +99,20 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return words.mix((words.mix(bits) * factor).sum(2, dtype=np.uint64)).view(np.int64)
 
 
+def _name(text: str) -> bytes:
+    """A digest of the words of a text, in which texts of equal words agree."""
+    return hashlib.blake2b(b" ".join(text.lower().encode("utf-8", "replace").split()), digest_size=16).digest()
+
+
 def signed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """Per row of a numbered table: _llm_id, doc_id, key (128 bits of its words, null without words), bands; written once."""
+    """Per row of a numbered table: _llm_id, doc_id, key (a digest of its words, null without words), bands; written once."""
 
     def run(batches):
         for b in batches:
             for begin, texts in runs_of(texts_of(b.column(2))):
-                value, doc, weight, h, bounds = bags(texts)
+                value, doc, weight, _, bounds = bags(texts)
                 keys = band_keys(signatures(value, doc, weight, len(texts)))
-                place = (np.arange(len(h)) - np.repeat(bounds[:-1], np.diff(bounds))).astype(np.uint64)
-                full = np.flatnonzero(np.diff(bounds))
-                names: list = [None] * len(texts)
-                if len(full):
-                    sums = [np.add.reduceat(words.mix(h ^ words.mix(place + np.uint64(s))), bounds[full]) for s in (1 << 40, 1 << 41)]
-                    for i, a, c in zip(full.tolist(), *[s.tolist() for s in sums], strict=True):
-                        names[i] = a.to_bytes(8, "little") + c.to_bytes(8, "little")
+                names = [_name(t) if bounds[i + 1] > bounds[i] else None for i, t in enumerate(texts)]
                 bands = [keys[i].tolist() if names[i] else [] for i in range(len(texts))]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(begin, len(texts)), b.column(1).slice(begin, len(texts)), pa.array(names, pa.binary()),

@@ -1,9 +1,10 @@
 """Token ids of many texts by a given tokenizer, each distinct word encoded once per worker.
 
 For tokenizers whose tokens never reach over white space and which drop it: a text's ids are
-the ids of its words in order. Words are found and hashed by :mod:`doclake.llm.words`; an
-open-addressing table of word hashes leads to a pool of ids. Words not in the table go to the
-tokenizer. The table is emptied when it is full, so memory is bounded and results do not change.
+the ids of its words in order (:class:`Coder` refuses others). Words are found and hashed by
+:mod:`doclake.llm.words`; an open-addressing table of word hashes leads to the word's bytes and its ids.
+Words not in the table, and words whose bytes are not those kept under their hash, go to the tokenizer.
+The table is emptied when it is full, so memory is bounded and results do not change.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import numpy as np
 from doclake.llm import words
 
 MAX_WORDS = 1 << 20
+MAX_KEPT = 1 << 10  # bytes of a word that is kept; longer ones are encoded each time
+MAX_POOL = 1 << 26  # bytes of all words that are kept
 MAX_PIECES = 50_000
 # Words of ASCII and composed Latin-1 letters: their normal form is themselves in lower case.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -36,6 +39,7 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        _check_spaces(self.tokenizer, path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self._pieces = _piece_pattern(self.tokenizer)
         self._letters = _byte_letters()
@@ -49,7 +53,10 @@ class Coder:
         self.start = np.zeros(1 << 12, np.int64)
         self.length = np.zeros(1 << 12, np.int32)
         self.pool = np.zeros(1 << 14, np.int32)
-        self.n_words = self.n_ids = 0
+        self.word_start = np.zeros(1 << 12, np.int64)
+        self.word_length = np.zeros(1 << 12, np.int64)
+        self.letters = np.zeros(1 << 16, np.uint8)  # seven bytes more than are used, for reads of eight
+        self.n_words = self.n_ids = self.n_letters = 0
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Entry of each hash, or -1."""
@@ -78,16 +85,23 @@ class Coder:
             todo = todo[~won]
             place[todo] = (place[todo] + np.uint64(1)) & mask
 
-    def _add(self, h: np.ndarray, ids: list[list[int]]) -> None:
-        if self.n_words + len(h) > MAX_WORDS:
-            self._clear()
+    def _add(self, h: np.ndarray, found: list[bytes], ids: list[list[int]]) -> None:
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for one in ids for i in one), np.int32, int(length.sum()))
         n, m = self.n_words + len(h), self.n_ids + len(flat)
+        own = np.fromiter(map(len, found), np.int64, len(found))
+        k = self.n_letters + int(own.sum())
         while len(self.start) < n:
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
+            more = 2 * len(self.start)
+            for name in ("start", "length", "word_start", "word_length"):
+                setattr(self, name, np.resize(getattr(self, name), more))
         while len(self.pool) < m:
             self.pool = np.resize(self.pool, 2 * len(self.pool))
+        while len(self.letters) < k + 8:
+            self.letters = np.resize(self.letters, 2 * len(self.letters))
+        self.word_start[self.n_words : n] = self.n_letters + np.cumsum(own) - own
+        self.word_length[self.n_words : n] = own
+        self.letters[self.n_letters : k] = np.frombuffer(b"".join(found), np.uint8)
         self.start[self.n_words : n] = self.n_ids + np.cumsum(length) - length
         self.length[self.n_words : n] = length
         self.pool[self.n_ids : m] = flat
@@ -97,7 +111,7 @@ class Coder:
             self.keys, self.at = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
             self._put(old, at)
         self._put(h, np.arange(self.n_words, n))
-        self.n_words, self.n_ids = n, m
+        self.n_words, self.n_ids, self.n_letters = n, m, k
 
     def _encode_words(self, found: list[str]) -> list[list[int]]:
         out: list[list[int] | None] = [self._plain(w) for w in found]
@@ -122,29 +136,56 @@ class Coder:
             ids += known
         return ids
 
+    def _known_words(self, data: bytes, w: words.Words, h: np.ndarray) -> np.ndarray:
+        """Entry of each word, or -1 if the table has not this word."""
+        entry = self._find(h)
+        at = np.flatnonzero(entry >= 0)
+        kept = words.same(data, w.start[at], w.end[at], self.letters, self.word_start[entry[at]], self.word_length[entry[at]])
+        entry[at[~kept]] = -1
+        return entry
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text's ids begin (one more entry than texts)."""
         parts, count = [], np.zeros(len(texts), np.int64)
         for w in words.scan([t.encode("utf-8", "replace") for t in texts]):
-            h = np.maximum(w.hash, np.uint64(1))  # 0 marks a free place
-            entry = self._find(h)
-            if (missing := np.flatnonzero(entry < 0)).size:
-                _, first = np.unique(h[missing], return_index=True)
-                if self.n_words + len(first) > MAX_WORDS:  # the table starts anew: all words of this buffer count
-                    self._clear()
-                    _, first = np.unique(h, return_index=True)
-                    missing = np.arange(len(h))
-                new = missing[first]
-                data = w.raw.tobytes()
-                self._add(h[new], self._encode_words([data[a:b].decode() for a, b in zip(w.start[new].tolist(), w.end[new].tolist(), strict=True)]))
-                entry = self._find(h)
-            length = self.length[entry].astype(np.int64)
+            h, size = np.maximum(w.hash, np.uint64(1)), w.end - w.start  # 0 marks a free place
+            data = w.raw.tobytes()
+            if self.n_words + len(h) > MAX_WORDS or self.n_letters + len(data) > MAX_POOL:
+                self._clear()  # so that all words of this buffer have a place
+            entry = self._known_words(data, w, h)
+            if ((entry < 0) & (size <= MAX_KEPT)).any():
+                fresh = np.flatnonzero((entry < 0) & (size <= MAX_KEPT))
+                fresh = fresh[self._find(h[fresh]) < 0]  # else another word has the place
+                new = fresh[np.unique(h[fresh], return_index=True)[1]]
+                found = [data[a:b] for a, b in zip(w.start[new].tolist(), w.end[new].tolist(), strict=True)]
+                self._add(h[new], found, self._encode_words([f.decode() for f in found]))
+                entry = self._known_words(data, w, h)
+            length = np.where(entry >= 0, self.length[entry], 0).astype(np.int64)
+            alone = np.flatnonzero(entry < 0)  # very long words, and words that share a hash with another
+            own = dict(zip(alone.tolist(), self._encode_words([data[w.start[i] : w.end[i]].decode() for i in alone]), strict=True))
+            for i, ids in own.items():
+                length[i] = len(ids)
             before = np.cumsum(length) - length
-            parts.append(self.pool[np.repeat(self.start[entry] - before, length) + np.arange(int(length.sum()))])
+            out = np.zeros(int(length.sum()), np.int32)
+            at = np.flatnonzero(entry >= 0) if own else slice(None)
+            many, first = length[at], before[at]
+            place = np.repeat(first, many) + (within := np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many))
+            out[place] = self.pool[np.repeat(self.start[entry[at]], many) + within]
+            for i, ids in own.items():
+                out[before[i] : before[i] + length[i]] = ids
+            parts.append(out)
             count += np.bincount(w.doc, weights=length, minlength=len(texts)).astype(np.int64)
         return (np.concatenate(parts) if parts else np.zeros(0, np.int32)), np.concatenate([[0], np.cumsum(count)])
 
 
+def _check_spaces(tokenizer, path: str) -> None:
+    """Refuse a tokenizer that keeps white space or whose tokens reach over it."""
+    apart = [i for word in ("of", "the", "end.") for i in tokenizer.encode(word, add_special_tokens=False).ids]
+    for text in ("of the end.", " of\t the\n\nend. ", "of\r\nthe\x0b\x0cend."):
+        if tokenizer.encode(text, add_special_tokens=False).ids != apart:
+            raise ValueError(f"{path}: tokens depend on the white space between words")
+
+
 def _piece_pattern(tokenizer) -> re.Pattern | None:
     """How the tokenizer splits a plain word, if it is of the kind known here: NFC and lower
     case, then contractions, letters, single digits, other signs."""

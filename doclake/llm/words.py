@@ -1,21 +1,24 @@
 """Words of many texts at once, as 64-bit hashes, with numpy.
 
-A word is a run of bytes other than space and 0x09 to 0x0D in the UTF-8 text. Its hash is a
-polynomial over table values of its bytes, modulo 2**64, taken from prefix sums, so a whole
-buffer of texts is hashed by a few array operations. Buffers stay near ``CHUNK`` bytes: long
+A word is a run of bytes other than space and 0x09 to 0x0D in the UTF-8 text. Its bytes are taken eight
+at a time, each eight mixed into the hash of those before; a word above ``LONG`` bytes is hashed by
+blake2b. A word of up to eight bytes has a hash that no other word of its length has. Whoever must not take
+one word for another compares the bytes (:func:`same`). Buffers of texts stay near ``CHUNK`` bytes: long
 texts are cut at white space, and only a single longer word makes a buffer longer.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 CHUNK = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+LONG = 256
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,26 +29,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least ``n`` of them."""
-    global _powers
-    if len(_powers[0]) < n:
-        n = max(n, CHUNK + CHUNK // 8)
-        made = []
-        for b in (_BASE, _BASE_INVERSE):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            made.append(np.cumprod(p, dtype=np.uint64))
-        if n > 4 * CHUNK:
-            return made[0], made[1]  # for one extreme word; not kept
-        _powers = made[0], made[1]
-    return _powers
+def eights(data: bytes) -> np.ndarray:
+    """The eight bytes at every place of the data, as one number; zeros follow its end."""
+    return np.ndarray((len(data) + 1,), "<u8", data + bytes(8), 0, (1,))
+
+
+def hash_words(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hashes of the words at these places of the data."""
+    at, length = eights(data), end - start
+    value = mix((at[start] & _MASK[np.minimum(length, 8)]) ^ (length.astype(np.uint64) * _ODD))
+    rest = np.flatnonzero((length > 8) & (length <= LONG))
+    done = 8
+    while len(rest):
+        more = at[start[rest] + done] & _MASK[np.minimum(length[rest] - done, 8)]
+        value[rest] = mix((value[rest] ^ more) * _ODD + np.uint64(done))
+        done += 8
+        rest = rest[length[rest] > done]
+    for i in np.flatnonzero(length > LONG).tolist():
+        value[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return value
+
+
+def same(a: bytes, a_start: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_length: np.ndarray) -> np.ndarray:
+    """Whether the words of ``a`` equal those of ``b``, a pool of bytes, place by place."""
+    length = a_end - a_start
+    out = length == b_length
+    at, other = eights(a), np.ndarray((len(b) - 7,), "<u8", b, 0, (1,))
+    rest, done = np.flatnonzero(out), 0
+    while len(rest):
+        mask = _MASK[np.minimum(length[rest] - done, 8)]
+        out[rest] &= (at[a_start[rest] + done] ^ other[b_start[rest] + done]) & mask == 0
+        done += 8
+        rest = rest[(length[rest] > done) & out[rest]]
+    return out
 
 
 @dataclass
@@ -100,13 +120,8 @@ def scan(texts: list[bytes]) -> Iterator[Words]:
         start, end = edge[0::2], edge[1::2]
         if not len(start):
             continue
-        power, inverse = _tables(len(raw) + 1)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_VALUES[raw] * power[: len(raw)], out=sums[1:])
-        value = (sums[end] - sums[start]) * inverse[start]
-        value = mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         doc = np.asarray(who)[np.searchsorted(at, start, "right") - 1]
-        yield Words(raw, start, end, value, doc)
+        yield Words(raw, start, end, hash_words(data, start, end), doc)
 
 
 def hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
