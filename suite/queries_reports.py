@@ -9,6 +9,7 @@ from doclake.functions import text as TX
 from doclake.operators import etl, insights, quality as Q
 from doclake.plans import explorer as E, reporting as R
 from doclake.plans.paging import RankDirectory
+from doclake.plans.rollups import Rollups
 from doclake.session import shared_folder
 from doclake.sources import ingest, tables as S
 from suite.catalog import NOW, QUERIES, as_of, filled_store, query, rounded
@@ -353,39 +354,76 @@ def _(t):
 
 
 # The first pages, one in the middle, the last one and the one behind it.
-PAGES = """pages AS (SELECT unnest([0, 1, n // 50, (n - 1) // 25, (n - 1) // 25 + 1]) AS page FROM (SELECT count(*) AS n FROM orders)),
-numbered AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders)"""
+PAGES = """pages AS (SELECT unnest([0, 1, n // 50, (n - 1) // 25, (n - 1) // 25 + 1]) AS page FROM (SELECT count(*) AS n FROM documents)),
+numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents)"""
 
 
 def _ranks(t):
     folder = f"{shared_folder(t.spark)}/doclake/ranks-{uuid.uuid4().hex}"
-    return RankDirectory(t.spark, folder, "o_orderkey").refresh(t.orders)
+    return RankDirectory(t.spark, folder, "doc_id").refresh(t.documents)
 
 
-@query("page_by_rank", f"""WITH {PAGES} SELECT DISTINCT page, o_orderkey, o_totalprice FROM numbered JOIN pages ON place // 25 = page""")
+@query("page_by_rank", f"""WITH {PAGES} SELECT DISTINCT page, doc_id, lang, n_chars FROM numbered JOIN pages ON place // 25 = page""")
 def _(t):
     ranks = _ranks(t)
     n = ranks.rows()
-    rows = t.orders.select("o_orderkey", "o_totalprice")
+    rows = t.documents.select("doc_id", "lang", "n_chars")
     pages = sorted({0, 1, n // 50, (n - 1) // 25, (n - 1) // 25 + 1})
     return reduce(DataFrame.unionAll, [
-        E.page_rows(rows, "o_orderkey", p, 25, ranks).select(F.lit(p).cast("bigint").alias("page"), "*") for p in pages])
+        E.page_rows(rows, "doc_id", p, 25, ranks).select(F.lit(p).cast("bigint").alias("page"), "*") for p in pages])
 
 
-@query("page_count_by_rank", "SELECT count(*) AS row_count, CAST(ceil(count(*) / 25.0) AS BIGINT) AS total_pages FROM orders")
+@query("page_count_by_rank", "SELECT count(*) AS row_count, CAST(ceil(count(*) / 25.0) AS BIGINT) AS total_pages FROM documents")
 def _(t):
-    return E.page_table(t.orders, "o_orderkey", 0, 25, _ranks(t))["pages"]
+    return E.page_table(t.documents, "doc_id", 0, 25, _ranks(t))["pages"]
 
 
-@query("export_page_csv", f"""WITH {PAGES} SELECT o_orderkey, o_orderpriority, o_totalprice FROM numbered
+@query("export_page_csv", f"""WITH {PAGES} SELECT doc_id, lang, source, n_chars FROM numbered
 WHERE place // 25 = (SELECT max(page) - 1 FROM pages)""")
 def _(t):
     ranks, path = _ranks(t), f"{shared_folder(t.spark)}/doclake/page-{uuid.uuid4().hex}"
-    rows = t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice")
-    E.export_page_csv(rows, "o_orderkey", path, (ranks.rows() - 1) // 25, 25, ranks)
+    rows = t.documents.select("doc_id", "lang", "source", "n_chars")
+    E.export_page_csv(rows, "doc_id", path, (ranks.rows() - 1) // 25, 25, ranks)
     return t.spark.read.option("header", True).schema(rows.schema).csv(path)
 
 
+# Stored rows of the day after all others come late; the rollups were made before.
+ROLLED = """UNION ALL SELECT 'late', 'd0', 'accuracy', 1.0, NULL, 'good', TIMESTAMP '2024-01-05 10:00:00'"""
+
+
+@query("rollup_reports", f"""WITH metrics AS (SELECT * FROM data_quality_metrics {ROLLED}),
+types AS (SELECT file_type, count(*) AS n, avg(file_size) AS a FROM files GROUP BY file_type)
+SELECT 'types' AS report, file_type AS key, n AS count, round(a, 6) AS value FROM types
+UNION ALL SELECT 'overview', concat_ws('/', check_type, status), count(*), NULL FROM metrics GROUP BY check_type, status
+UNION ALL SELECT 'score', check_type, count(*), round(100.0 * count(*) FILTER (WHERE status = 'good') / count(*), 6) FROM metrics GROUP BY check_type
+UNION ALL SELECT 'uploads', CAST(CAST(upload_date AS DATE) AS VARCHAR), count(*), NULL FROM files
+ WHERE upload_date >= {NOW} - INTERVAL 30 DAY GROUP BY CAST(upload_date AS DATE)
+UNION ALL SELECT 'runs', CAST(CAST(created_date AS DATE) AS VARCHAR), count(*), NULL FROM analytics_results
+ WHERE created_date >= {NOW} - INTERVAL 7 DAY GROUP BY CAST(created_date AS DATE)
+UNION ALL SELECT 'averages', 'words', count(*), round(avg(CAST(json_extract_string(results, '$.word_count') AS DOUBLE)), 6) FROM analytics_results""")
+def _(t):
+    store = filled_store(t, "files", "analytics_results", "data_quality_metrics")
+    rollups = Rollups(store)
+    rollups.refresh()
+    late = t.spark.createDataFrame([("late", "d0", "accuracy", 1.0, "good", "2024-01-05 10:00:00")],
+                                   "metric_id string, file_id string, check_type string, check_value double, status string, at string")
+    store.append("data_quality_metrics", late.withColumn("check_date", F.col("at").cast("timestamp")))
+    rollups.refresh()
+
+    def shown(report: str, df: DataFrame, key: str, count: str, value: str | None = None) -> DataFrame:
+        number = F.round(F.col(value), 6) if value else F.lit(None).cast("double")
+        return df.select(F.lit(report).alias("report"), F.expr(f"CAST({key} AS STRING)").alias("key"), F.col(count).alias("count"), number.alias("value"))
+
+    averages = rollups.analytics_metrics(as_of())
+    return reduce(DataFrame.unionAll, [
+        shown("types", rollups.file_type_stats(), "file_type", "count", "avg_size"),
+        shown("overview", rollups.quality_overview(), "concat_ws('/', check_type, status)", "count"),
+        shown("score", rollups.quality_score_by_check(), "check_type", "total_checks", "quality_score"),
+        shown("uploads", rollups.upload_timeline(as_of()), "date", "uploads"),
+        shown("runs", rollups.recent_runs(as_of()), "run_date", "records_processed"),
+        shown("averages", averages, "'words'", "total_analyses", "avg_word_count")])
+
+
 # -------------------------------------------------------------------------- key checks
 
 

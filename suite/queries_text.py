@@ -1,11 +1,16 @@
 """Text measures, quality checks, ETL, and scalar helpers."""
 
+import uuid
+from urllib.parse import unquote
+
 from pyspark.sql import functions as F
 
 from doclake.functions import fixed as X, scalars as SC, text as TX, urls as U
 from doclake.operators import etl, quality as Q, sentiment
 from doclake.plans import reporting as R
+from doclake.session import shared_folder
 from doclake.sources import ingest as I
+from doclake.sources.parts import read_parts
 from suite.catalog import ALL_WS, LB, NOW, TEXTS, WS, Tables, as_of, count_of, filled_store, query, rounded, sql_list
 
 T = "extracted_text"
@@ -323,6 +328,29 @@ def _(t):
     return R.upload_summary(I.extract_content(uploaded_files(t)))
 
 
+# All texts as a few large files, one document after the other, read again in parts of a megabyte: as lines, and as
+# quoted cells in which lines end too.
+QUOTED = "concat('\"', replace(coalesce(text, ''), '\"', '\"\"'), '\"')"
+
+
+@query("text_file_parts", f"""SELECT 'text' AS kind, sum(length(coalesce(text, '')) + 1) AS n_chars,
+ sum(len(regexp_extract_all(coalesce(text, ''), '[^{WS}]+'))) AS n_words, 0 AS n_open FROM documents
+UNION ALL SELECT 'csv', sum(length({QUOTED}) + 1), sum(len(regexp_extract_all({QUOTED}, '[^{WS}]+'))), 0 FROM documents""")
+def _(t):
+    folder, text = f"{shared_folder(t.spark)}/doclake/texts-{uuid.uuid4().hex}", F.coalesce("text", F.lit(""))
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    frames = []
+    for kind, line in (("text", text), ("csv", quoted)):
+        t.documents.select("doc_id", line.alias("line")).repartition(4, "doc_id").select("line").write.text(f"{folder}/{kind}")
+        paths = [unquote(f) for f in t.spark.read.text(f"{folder}/{kind}").inputFiles()]
+        parts = read_parts(t.spark, paths, F.lit(kind == "csv"), 1 << 20)
+        is_open = F.regexp_count("extracted_text", F.lit('"')) % 2 if kind == "csv" else F.lit(0)
+        frames.append(parts.agg(
+            F.lit(kind).alias("kind"), F.sum(F.length("extracted_text")).alias("n_chars"),
+            F.sum(TX.word_count("extracted_text")).alias("n_words"), F.sum(is_open).cast("int").alias("n_open")))
+    return frames[0].unionAll(frames[1])
+
+
 # --------------------------------------------------------------------------------- scalars
 
 EXTENSION = """CASE WHEN contains(ltrim(list_last(string_split({f}, '/')), '.'), '.')
