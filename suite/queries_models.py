@@ -1,9 +1,13 @@
 """TF-IDF with checking SQL; clusters, topics, forests as rows-only queries."""
 
-from pyspark.sql import functions as F
+import uuid
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window, functions as F
 
 from doclake.functions import text as TX
 from doclake.operators import cluster, iforest, insights, sentiment, tfidf
+from doclake.session import shared_folder, written
 from suite.catalog import Tables, query, rounded, sql_list
 
 T = "extracted_text"
@@ -135,6 +139,85 @@ def _(t):
         F.every((F.col("anomaly") == -1) == (F.col("anomaly_score") < 0)).alias("sign_agrees"))
 
 
+# Results worked out a second time, in another way, from the model's own numbers.
+
+
+@query("clustering_checked", f"""SELECT count(*) AS texts, count(*) AS nearest, count(*) AS counted, TRUE AS silhouette_agrees,
+ 50 AS heaviest FROM processed_data WHERE {T} IS NOT NULL""")
+def _(t):
+    """Every text is in the cluster of its nearest centre; sizes, silhouette and top terms follow from centres and vectors."""
+    found = clustering(t)
+    centres = [[float(x) for x in c] for c in found.model.stages[-1].clusterCenters()]
+    assigned = found.model.transform(docs(t)).select("data_id", vector_to_array("features").alias("v")).join(found.assignments, "data_id")
+    assigned = written(assigned, "assigned")
+    distances = F.array(*[F.aggregate(F.zip_with("v", F.lit(c), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x) for c in centres])
+    near = assigned.select((F.get(distances, F.col("prediction")) <= F.array_min(distances) + 1e-9).alias("near"))
+
+    # The mean squared distance of x to the rows of a cluster is |x|^2 + sum|y|^2 / n - 2 x . sum(y) / n.
+    def length2(v):
+        return F.aggregate(F.transform(v, lambda a: a * a), F.lit(0.0), lambda a, x: a + x)
+
+    sums = assigned.select("prediction", F.posexplode("v").alias("i", "x")).where("x != 0").groupBy("prediction", "i").agg(F.sum("x").alias("x"))
+    by_cluster = {r["prediction"]: (r["n"], r["q"]) for r in assigned.groupBy("prediction").agg(F.count("*").alias("n"), F.sum(length2("v")).alias("q")).collect()}
+    total = {k: [0.0] * len(centres[0]) for k in by_cluster}
+    for r in sums.collect():  # clusters x vocabulary numbers
+        total[r["prediction"]][r["i"]] = r["x"]
+
+    def mean_distance(k: int):
+        n, q = by_cluster[k]
+        dot = F.aggregate(F.zip_with("v", F.lit(total[k]), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+        return length2("v") + F.lit(q / n) - dot * (2 / n)
+
+    own, other = F.lit(None).cast("double"), []
+    for k, (n, _) in by_cluster.items():
+        mine = F.col("prediction") == k
+        own = F.when(mine, mean_distance(k) * (n / (n - 1)) if n > 1 else F.lit(None)).otherwise(own)
+        other.append(F.when(~mine, mean_distance(k)))
+    scored = assigned.select(own.alias("a"), F.least(*other).alias("b"))
+    value = scored.agg(F.avg(F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))).alias("s"))
+
+    terms = tfidf.terms_of(found.model)
+    ranked = [[w for w, _ in sorted(((c[i], terms[i]) for i in range(len(terms))), key=lambda p: (-p[0], p[1]))[:10]] for c in centres]
+    heaviest = F.count_if(F.abs(F.col("weight") - F.get(F.get(F.lit(ranked), F.col("cluster")), F.col("rank") - 1)) < 1e-12)
+    counted = found.sizes().join(assigned.groupBy("prediction").agg(F.count("*").alias("n")), "prediction").where("size = n").agg(F.sum("size"))
+    return near.agg(F.count("*").alias("texts"), F.count_if("near").alias("nearest")).select(
+        "*", counted.scalar().alias("counted"),
+        (F.abs(value.scalar() - found.silhouette.select("silhouette_sq").scalar()) < 1e-6).alias("silhouette_agrees"),
+        found.top_terms.agg(heaviest.cast("int")).scalar().alias("heaviest"))
+
+
+@query("importance_checked", f"""SELECT count(*) AS texts, count(*) AS most_likely, TRUE AS importances_agree
+FROM processed_data p JOIN labels l ON p.data_id = concat('p', CAST(l.doc_id AS VARCHAR)) WHERE {T} IS NOT NULL AND quality IS NOT NULL""")
+def _(t):
+    """Predictions are the more likely class; a term's importance is its share of the impurity its splits take off, tree by tree."""
+    found = sentiment.sentiment_analysis(labelled(t), label="quality")
+    forest = next(s for s in found.model.stages if hasattr(s, "featureImportances"))
+    folder = f"{shared_folder(t.spark)}/doclake/forest-{uuid.uuid4().hex}"
+    forest.save(folder)
+    nodes = t.spark.read.parquet(f"{folder}/data").select("treeID", "nodeData.*").where("leftChild >= 0")
+    gains = nodes.groupBy("treeID", F.col("split.featureIndex").alias("i")).agg(F.sum(F.col("gain") * F.col("rawCount")).alias("g"))
+    gains = gains.withColumn("g", F.col("g") / F.sum("g").over(Window.partitionBy("treeID")))  # at most a tree's features
+    gains = gains.groupBy("i").agg(F.sum("g").alias("g"))
+    shares = {r["i"]: r["g"] for r in gains.collect()}  # one number per term of the vocabulary
+    terms = tfidf.terms_of(found.model)
+    mine = t.spark.createDataFrame([(terms[i], g / sum(shares.values())) for i, g in shares.items()], "term string, share double")
+    agree = found.importances.join(mine, "term", "left").agg(
+        F.every(F.abs(F.col("importance") - F.coalesce("share", F.lit(0.0))) < 1e-6)).scalar()
+    likely = F.get("probability", F.col("prediction").cast("int")) >= F.array_max("probability")
+    return found.predictions.agg(F.count("*").alias("texts"), F.count_if(likely).alias("most_likely")).withColumn("importances_agree", agree)
+
+
+@query("anomaly_checked", f"""SELECT count(*) AS total, TRUE AS below_quantile FROM processed_data WHERE {T} IS NOT NULL""")
+def _(t):
+    """The flagged rows are those below the 0.1-quantile of the scores, by the engine's own exact percentile."""
+    rows = written(iforest.anomaly_detection(TX.ml_features(t.processed_data)), "flagged")
+    # Scores are shifted by the quantile, so it is at zero now.
+    quantile = rows.agg(F.percentile("anomaly_score", F.lit(0.1))).scalar()
+    counted = rows.where(F.col("anomaly_score") < quantile - 1e-12).agg(F.count("*")).scalar()
+    return rows.agg(F.count("*").alias("total"), F.count_if(F.col("anomaly") == -1).alias("flagged")).select(
+        "total", ((F.abs(quantile) < 1e-9) & (F.abs(F.col("flagged") - counted) <= 0)).alias("below_quantile"))
+
+
 @query("ml_insights")
 def _(t):
     found = insights.ml_insights(docs(t))
