@@ -218,6 +218,23 @@ def _(t):
         "total", ((F.abs(quantile) < 1e-9) & (F.abs(F.col("flagged") - counted) <= 0)).alias("below_quantile"))
 
 
+@query("saved_models", f"""SELECT count(*) AS texts, count(*) AS same_cluster, count(*) AS same_anomaly, 2 AS models
+FROM processed_data WHERE {T} IS NOT NULL""")
+def _(t):
+    """Models that were saved and loaded again say the same of every text."""
+    found = cluster.text_clustering(docs(t), n_clusters=5, score=False)
+    rows = written(TX.ml_features(t.processed_data), "features")
+    forest, flagged = iforest.fit(rows)
+    folder = f"{shared_folder(t.spark)}/doclake/models-{uuid.uuid4().hex}"
+    insights.save_models(t.spark, {"clusters": found.model, "anomalies": forest}, folder)
+    again = insights.load_models(t.spark, folder)
+    clusters = again["clusters"].transform(docs(t)).select("data_id", F.col("prediction").alias("p")).join(found.assignments, "data_id")
+    anomalies = again["anomalies"].predict(rows).select("data_id", F.col("anomaly").alias("a")).join(flagged.select("data_id", "anomaly"), "data_id")
+    return clusters.join(anomalies, "data_id").agg(
+        F.count("*").alias("texts"), F.count_if(F.col("p") == F.col("prediction")).alias("same_cluster"),
+        F.count_if(F.col("a") == F.col("anomaly")).alias("same_anomaly"), F.lit(len(again)).alias("models"))
+
+
 @query("ml_insights")
 def _(t):
     found = insights.ml_insights(docs(t))

@@ -1,9 +1,14 @@
 """Text measures, quality checks, ETL, and scalar helpers."""
 
+import io
 import uuid
+import zipfile
 from urllib.parse import unquote
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from doclake.functions import fixed as X, scalars as SC, text as TX, urls as U
 from doclake.operators import etl, quality as Q, sentiment
@@ -328,6 +333,46 @@ def _(t):
     return R.upload_summary(I.extract_content(uploaded_files(t)))
 
 
+# Every document as an office file, of one paragraph, cell or line of a shape for each line of its text.
+OFFICE_TEXT = "regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0B-\\x1F]', '', 'g')"
+OFFICE_PARTS = {
+    ".docx": {"word/document.xml": ('<w:document xmlns:w="w"><w:body>', "<w:p><w:r><w:t>", "</w:t></w:r></w:p>", "</w:body></w:document>")},
+    ".pptx": {
+        "ppt/presentation.xml": ('<p:presentation xmlns:p="p" xmlns:r="r"><p:sldIdLst><p:sldId id="1" r:id="s"/></p:sldIdLst></p:presentation>',),
+        "ppt/_rels/presentation.xml.rels": ('<Relationships xmlns="l"><Relationship Id="s" Target="slides/slide1.xml"/></Relationships>',),
+        "ppt/slides/slide1.xml": ('<p:sld xmlns:p="p" xmlns:a="a"><p:cSld><p:spTree><p:sp><p:txBody>', "<a:p><a:r><a:t>", "</a:t></a:r></a:p>",
+                                  "</p:txBody></p:sp></p:spTree></p:cSld></p:sld>")},
+    ".xlsx": {
+        "xl/workbook.xml": ('<workbook xmlns="m" xmlns:r="r"><sheets><sheet name="S" sheetId="1" r:id="s"/></sheets></workbook>',),
+        "xl/_rels/workbook.xml.rels": ('<Relationships xmlns="l"><Relationship Id="s" Target="worksheets/sheet1.xml"/></Relationships>',),
+        "xl/worksheets/sheet1.xml": ('<worksheet xmlns="m"><sheetData>', '<row><c t="inlineStr"><is><t>', "</t></is></c></row>", "</sheetData></worksheet>")},
+}
+
+
+@F.pandas_udf(BinaryType())
+def office_file(extension: pd.Series, text: pd.Series) -> pd.Series:
+    def package(kind: str, lines: list[str]) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, (head, *rest) in OFFICE_PARTS[kind].items():
+                body = "".join(f"{rest[0]}{escape(line)}{rest[1]}" for line in lines) + rest[2] if rest else ""
+                z.writestr(name, head + body)
+        return out.getvalue()
+
+    return pd.Series([package(e, t.split("\n")) for e, t in zip(extension, text)])
+
+
+@query("extract_office", f"""WITH kinds AS (SELECT doc_id, {OFFICE_TEXT} AS text,
+ CASE doc_id % 3 WHEN 0 THEN '.docx' WHEN 1 THEN '.pptx' ELSE '.xlsx' END AS file_type FROM documents)
+SELECT doc_id, file_type, 'ok' AS extract_status, md5(CASE file_type WHEN '.xlsx' THEN text ELSE concat(text, chr(10)) END) AS text_md5 FROM kinds""")
+def _(t):
+    kind = F.expr("CASE doc_id % 3 WHEN 0 THEN '.docx' WHEN 1 THEN '.pptx' ELSE '.xlsx' END")
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0B-\x1F]", "")
+    files = t.documents.select(F.col("doc_id").cast("string").alias("file_id"), kind.alias("file_type"), office_file(kind, text).alias("content"))
+    return I.extract_content(files).join(files.select("file_id", "file_type"), "file_id").select(
+        F.col("file_id").cast("long").alias("doc_id"), "file_type", "extract_status", F.md5("extracted_text").alias("text_md5"))
+
+
 # All texts as a few large files, one document after the other, read again in parts of a megabyte: as lines, and as
 # quoted cells in which lines end too.
 QUOTED = "concat('\"', replace(coalesce(text, ''), '\"', '\"\"'), '\"')"
@@ -418,6 +463,19 @@ def _(t):
     return t.documents.select("doc_id", SC.md5_hash(F.encode("text", "UTF-8")).alias("hash"))
 
 
+@query("unique_id", "SELECT count(*) AS rows, count(*) AS ids, count(*) AS prefixed FROM documents")
+def _(t):
+    ids = t.documents.select(SC.unique_id("doc").alias("id"))
+    return ids.agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids"), F.count_if(F.col("id").startswith("doc_")).alias("prefixed"))
+
+
+@query("to_json_safe", """SELECT event_id, to_json({'event_id': event_id,  'ts': CASE WHEN microsecond(ts) % 1000000 = 0
+ THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END, 'event_type': nullif(event_type, 'error'), 'props': props}) AS json FROM events""")
+def _(t):
+    rows = t.events.withColumn("event_type", F.nullif("event_type", F.lit("error")))
+    return rows.select("event_id", SC.to_json_safe(rows, ["event_id", "ts", "event_type", "props"]).alias("json"))
+
+
 BROKEN = "CASE WHEN event_type = 'error' THEN left(props, 4) ELSE props END"
 
 
