@@ -13,6 +13,10 @@ FILE_CATEGORIES = {
     "executables": [".exe", ".dll", ".bat", ".sys"],
 }
 
+# --- fixed values: characters that file names may not have, and that they do not end in
+FORBIDDEN_IN_NAMES = r'[<>:"/\\|?*]'
+TRIMMED_FROM_NAMES = "_. "
+
 # --- fixed values: link targets that are files, not pages ---------------------
 FILE_LINK_EXTENSIONS = [".pdf", ".doc", ".docx", ".jpg", ".png", ".gif", ".zip"]
 

@@ -30,8 +30,8 @@ def is_supported_type(filename, extensions: list[str]) -> Column:
 
 def clean_filename(filename) -> Column:
     """Replace characters that file systems forbid, squeeze underscores, trim the ends."""
-    safe = F.regexp_replace(_col(filename), r'[<>:"/\\|?*]', "_")
-    return F.btrim(F.regexp_replace(safe, "_+", "_"), F.lit("_. "))
+    safe = F.regexp_replace(_col(filename), X.FORBIDDEN_IN_NAMES, "_")
+    return F.btrim(F.regexp_replace(safe, "_+", "_"), F.lit(X.TRIMMED_FROM_NAMES))
 
 
 def _fixed(value: Column, digits: int) -> Column:

@@ -45,22 +45,22 @@ class RankDirectory:
             return self._build(table, files)
         new = [unquote(f) for f in files if f not in known]
         keys = self.spark.read.schema(table.select(self.key).schema).parquet(*new)
-        self._add(keys.withColumn("range", self._range_of(F.col(self.key), kept)), kept, files)
+        self._add(keys.withColumn("range", self._range_of(F.col(self.key), kept)).repartition("range"), kept, files)
         return self
 
     def _build(self, table: DataFrame, files: list[str]) -> "RankDirectory":
         keys = table.select(self.key)
         rows = keys.count()
         ranges = max(1, min(MAX_RANGES, -(-rows // self.rows_per_range)))
-        # Equal keys are in one range, however many there are.
+        # A task is a range. Equal keys are in one, however many there are.
         dealt = keys.repartitionByRange(ranges, self.key).withColumn("range", F.spark_partition_id())
         self._add(dealt, {"segments": [], "version": (self._kept() or {"version": 0})["version"], "built": max(rows, self.rows_per_range)}, files)
         return self
 
     def _add(self, keys: DataFrame, kept: dict, files: list[str]) -> None:
-        """Write a segment of keys, the counts with it, and last the file that names them all."""
+        """Write a segment of keys, of which each range lies in one task, the counts with it, and last the file that names them all."""
         segment, counts, sources = (f"{kind}-{uuid.uuid4().hex}" for kind in ("keys", "counts", "sources"))
-        keys.repartition("range").sortWithinPartitions("range", self.key).write.partitionBy("range").parquet(f"{self.folder}/{segment}")
+        keys.sortWithinPartitions("range", self.key).write.partitionBy("range").parquet(f"{self.folder}/{segment}")
         added = self._segment(segment, keys.schema[self.key].dataType.simpleString()).groupBy("range").agg(
             F.min(self.key).alias("low"), F.count("*").alias("rows"))
         if kept["segments"]:
