@@ -177,6 +177,10 @@ def _parse(html: pd.Series, url: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["title", "raw_text", "links", "error"])
 
 
+# So named, filters on its result are not moved below a join, where they would parse every page a second time.
+_parse = _parse.asNondeterministic()
+
+
 def parse_pages(pages: DataFrame, keep: tuple[str, ...] = ("page_id",), as_of: Column | None = None) -> DataFrame:
     """Title, clean text, counts and resolved links of every page.
 

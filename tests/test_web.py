@@ -52,6 +52,15 @@ def test_parse(parsed, i):
     assert row["word_count"] == len(content.split()) and row["char_count"] == len(content)
 
 
+def test_pages_are_parsed_once(spark, capsys):
+    pages = pages_of(spark, [("http://h/1", "x"), ("http://h/2", None)])
+    known = spark.createDataFrame([("http://h/1",), ("http://h/2",)], "url string")
+    good = W.parse_pages(pages.join(known, "url", "left_semi")).where("parse_status = 'ok'").select("page_id", "title")
+    good.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+    assert [r["page_id"] for r in good.collect()] == [0]
+
+
 def test_bad_pages_keep_their_row(spark):
     rows = W.parse_pages(pages_of(spark, [("http://h/", None), (None, "x")])).collect()
     assert [r["parse_status"] for r in rows] == ["error", "error"]
