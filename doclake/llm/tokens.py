@@ -19,7 +19,8 @@ from doclake.llm import words
 MAX_WORDS = 1 << 20
 MAX_KEPT = 1 << 10  # bytes of a word that is kept; longer ones are encoded each time
 MAX_POOL = 1 << 26  # bytes of all words that are kept
-MAX_PIECES = 50_000
+MAX_PIECES = 1 << 18
+RUN = 64  # pieces that go to the model at once
 # Words of ASCII and composed Latin-1 letters: their normal form is themselves in lower case.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 
@@ -36,14 +37,16 @@ class Coder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         _check_spaces(self.tokenizer, path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self._pieces = _piece_pattern(self.tokenizer)
         self._letters = _byte_letters()
-        self._known: dict[str, list[int]] = {}
+        self._model = Tokenizer(self.tokenizer.model)  # for pieces, with spaces between them
+        self._model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self._clear_pieces()
         self._clear()
 
     def _clear(self) -> None:
@@ -85,9 +88,7 @@ class Coder:
             todo = todo[~won]
             place[todo] = (place[todo] + np.uint64(1)) & mask
 
-    def _add(self, h: np.ndarray, found: list[bytes], ids: list[list[int]]) -> None:
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for one in ids for i in one), np.int32, int(length.sum()))
+    def _add(self, h: np.ndarray, found: list[bytes], flat: np.ndarray, length: np.ndarray) -> None:
         n, m = self.n_words + len(h), self.n_ids + len(flat)
         own = np.fromiter(map(len, found), np.int64, len(found))
         k = self.n_letters + int(own.sum())
@@ -113,28 +114,50 @@ class Coder:
         self._put(h, np.arange(self.n_words, n))
         self.n_words, self.n_ids, self.n_letters = n, m, k
 
-    def _encode_words(self, found: list[str]) -> list[list[int]]:
-        out: list[list[int] | None] = [self._plain(w) for w in found]
-        rest = [i for i, ids in enumerate(out) if ids is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch([found[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        return out
-
-    def _plain(self, word: str) -> list[int] | None:
-        """Ids of a plain word from the vocabulary's model alone; None where that does not do."""
-        if self._pieces is None or "<|" in word or not _PLAIN.fullmatch(word):
-            return None
-        ids: list[int] = []
-        for piece in self._pieces.findall(word.lower()):
-            known = self._known.get(piece)
-            if known is None:
-                letters = piece if piece.isascii() else "".join([self._letters[b] for b in piece.encode()])
-                known = [t.id for t in self.tokenizer.model.tokenize(letters)]
-                if len(self._known) >= MAX_PIECES:
-                    self._known.clear()
-                self._known[piece] = known
-            ids += known
-        return ids
+    def _encode_words(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after the other, and how many each has."""
+        plain = np.array([self._pieces is not None and "<|" not in w and _PLAIN.fullmatch(w) is not None for w in found], bool)
+        ids, length = self._plain([w for w, p in zip(found, plain.tolist(), strict=True) if p])
+        if plain.all():
+            return ids, length
+        rest = [w for w, p in zip(found, plain.tolist(), strict=True) if not p]
+        other = [e.ids for e in self.tokenizer.encode_batch(rest, add_special_tokens=False)]
+        count = np.zeros(len(found), np.int64)
+        count[plain], count[~plain] = length, [len(i) for i in other]
+        out, mine = np.zeros(int(count.sum()), np.int32), np.repeat(plain, count)
+        out[mine], out[~mine] = ids, [i for one in other for i in one]
+        return out, count
+
+    def _plain(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of plain words, by the vocabulary's model alone, each distinct piece once."""
+        if not found:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        pieces = self._pieces.findall("\n".join(found).lower())
+        distinct = dict.fromkeys(pieces)
+        new = [p for p in distinct if p not in self._known]
+        if len(self._known) + len(new) > MAX_PIECES:
+            self._clear_pieces()
+            new = [p for p in distinct if p != "\n"]
+        if new:
+            letters = [p if p.isascii() else "".join([self._letters[b] for b in p.encode()]) for p in new]
+            runs = [letters[i : i + RUN] for i in range(0, len(letters), RUN)]
+            coded = self._model.encode_batch([" ".join(r) for r in runs], add_special_tokens=False)
+            size = np.concatenate([np.bincount(np.array(e.word_ids, np.int64), minlength=len(r)) for e, r in zip(coded, runs, strict=True)])
+            start = len(self._piece_ids) + np.cumsum(size) - size
+            self._known.update(zip(new, range(len(self._piece_start), len(self._piece_start) + len(new)), strict=True))
+            self._piece_start = np.concatenate([self._piece_start, start])
+            self._piece_length = np.concatenate([self._piece_length, size])
+            self._piece_ids = np.concatenate([self._piece_ids, *[np.array(e.ids, np.int32) for e in coded]])
+        at = np.fromiter(map(self._known.__getitem__, pieces), np.int64, len(pieces))
+        many = self._piece_length[at]
+        within = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        ids = self._piece_ids[np.repeat(self._piece_start[at], many) + within]
+        return ids, np.bincount(np.cumsum(at == 0), weights=many, minlength=len(found)).astype(np.int64)
+
+    def _clear_pieces(self) -> None:
+        self._known: dict[str, int] = {"\n": 0}  # the line feed between words has no ids
+        self._piece_start, self._piece_length = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self._piece_ids = np.zeros(0, np.int32)
 
     def _known_words(self, data: bytes, w: words.Words, h: np.ndarray) -> np.ndarray:
         """Entry of each word, or -1 if the table has not this word."""
@@ -158,21 +181,19 @@ class Coder:
                 fresh = fresh[self._find(h[fresh]) < 0]  # else another word has the place
                 new = fresh[np.unique(h[fresh], return_index=True)[1]]
                 found = [data[a:b] for a, b in zip(w.start[new].tolist(), w.end[new].tolist(), strict=True)]
-                self._add(h[new], found, self._encode_words([f.decode() for f in found]))
+                self._add(h[new], found, *self._encode_words([f.decode() for f in found]))
                 entry = self._known_words(data, w, h)
             length = np.where(entry >= 0, self.length[entry], 0).astype(np.int64)
             alone = np.flatnonzero(entry < 0)  # very long words, and words that share a hash with another
-            own = dict(zip(alone.tolist(), self._encode_words([data[w.start[i] : w.end[i]].decode() for i in alone]), strict=True))
-            for i, ids in own.items():
-                length[i] = len(ids)
+            own_ids, length[alone] = self._encode_words([data[w.start[i] : w.end[i]].decode() for i in alone])
             before = np.cumsum(length) - length
             out = np.zeros(int(length.sum()), np.int32)
-            at = np.flatnonzero(entry >= 0) if own else slice(None)
+            at = np.flatnonzero(entry >= 0) if len(alone) else slice(None)
             many, first = length[at], before[at]
             place = np.repeat(first, many) + (within := np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many))
             out[place] = self.pool[np.repeat(self.start[entry[at]], many) + within]
-            for i, ids in own.items():
-                out[before[i] : before[i] + length[i]] = ids
+            if len(alone):
+                out[np.repeat(entry < 0, length)] = own_ids
             parts.append(out)
             count += np.bincount(w.doc, weights=length, minlength=len(texts)).astype(np.int64)
         return (np.concatenate(parts) if parts else np.zeros(0, np.int32)), np.concatenate([[0], np.cumsum(count)])
@@ -199,7 +220,7 @@ def _piece_pattern(tokenizer) -> re.Pattern | None:
         return None
     if splits[0]["pattern"].get("Regex") != known or not splits[0]["invert"]:
         return None
-    return re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+    return re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+|\n")
 
 
 _coders: dict[str, Coder] = {}

@@ -71,6 +71,21 @@ def test_a_full_table_starts_anew(monkeypatch, name):
         assert made.encode([t])[0].tolist() == ids_of(t, 0)[:-1]
 
 
+def test_new_words_go_to_the_model_together(monkeypatch):
+    from types import SimpleNamespace
+
+    from doclake.llm import tokens
+
+    monkeypatch.setattr(tokens, "MAX_PIECES", 300)
+    made, calls = Coder(VOCABULARY), []
+    model = made._model
+    made._model = SimpleNamespace(encode_batch=lambda runs, **k: calls.append(len(runs)) or model.encode_batch(runs, **k))
+    texts = [" ".join(f"Wörd{i}x{'abcdefghij'[j % 10] * (j // 10 + 1)}'s_{i}, 日本 <|endoftext|> ß¹" for j in range(100)) for i in range(9)]
+    for t in [*texts, "", *texts]:
+        assert made.encode([t])[0].tolist() == ids_of(t, 0)[:-1]
+    assert 0 < len(calls) <= 9
+
+
 def test_hashes_depend_on_every_byte_and_the_length():
     base = bytes(range(97, 123)) * 12
     made = [base[:n] for n in (1, 2, 7, 8, 9, 15, 16, 17, 255, 256, 257, 300)] + [b"a\0", b"a\0\0", b"\0"]
