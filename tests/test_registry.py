@@ -28,3 +28,20 @@ def test_query(spark, con, name):
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_large_files_are_as_many_as_the_texts_fill(spark, tmp_path):
+    from pathlib import Path
+
+    rows = spark.range(3000).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 8), k -> sha2(concat(id, ':', k), 256)), '') AS text", "'en' AS lang", "'s' AS source", "512L AS n_chars")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    kept, size = Path(spark.conf.get("spark.checkpoint.dir")) / "doclake", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = set(kept.glob("texts-*"))
+    spark.conf.set(size, "65536")
+    try:
+        found = {r["kind"]: (r["n_chars"], r["n_open"]) for r in entry.queries()["text_file_parts"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset(size)
+    assert found == {"text": (3000 * 513, 0), "csv": (3000 * 515, 0)}
+    (folder,) = set(kept.glob("texts-*")) - before
+    assert len([*(folder / "text").glob("part-*")]) > 4 < len([*(folder / "csv").glob("part-*")])
