@@ -2,7 +2,6 @@
 
 import uuid
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window, functions as F
 
 from doclake.functions import text as TX
@@ -148,32 +147,32 @@ def _(t):
     """Every text is in the cluster of its nearest centre; sizes, silhouette and top terms follow from centres and vectors."""
     found = clustering(t)
     centres = [[float(x) for x in c] for c in found.model.stages[-1].clusterCenters()]
-    assigned = found.model.transform(docs(t)).select("data_id", vector_to_array("features").alias("v")).join(found.assignments, "data_id")
-    assigned = written(assigned, "assigned")
-    distances = F.array(*[F.aggregate(F.zip_with("v", F.lit(c), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x) for c in centres])
-    near = assigned.select((F.get(distances, F.col("prediction")) <= F.array_min(distances) + 1e-9).alias("near"))
+    assigned = found.model.transform(docs(t)).select("data_id", F.unwrap_udt("features").alias("v")).join(found.assignments, "data_id")
+    # Vectors are sparse: only the terms that a text holds are kept, and their squares' sum.
+    assigned = assigned.select("prediction", F.col("v.indices").alias("i"), F.col("v.values").alias("x"))
+    assigned = written(assigned.withColumn("q", F.aggregate("x", F.lit(0.0), lambda a, x: a + x * x)), "assigned")
 
-    # The mean squared distance of x to the rows of a cluster is |x|^2 + sum|y|^2 / n - 2 x . sum(y) / n.
-    def length2(v):
-        return F.aggregate(F.transform(v, lambda a: a * a), F.lit(0.0), lambda a, x: a + x)
+    def dot(c: list[float]):
+        listed = F.split(F.lit(",".join(map(repr, c))), ",").cast("array<double>")  # one literal, not one for each number
+        return F.aggregate(F.zip_with("i", "x", lambda i, x: F.get(listed, i) * x), F.lit(0.0), lambda a, x: a + x)
+
+    distances = F.array(*[F.col("q") - dot(c) * 2 + sum(a * a for a in c) for c in centres])
+    near = assigned.select("prediction", distances.alias("d")).select((F.get("d", F.col("prediction")) <= F.array_min("d") + 1e-9).alias("near"))
 
-    sums = assigned.select("prediction", F.posexplode("v").alias("i", "x")).where("x != 0").groupBy("prediction", "i").agg(F.sum("x").alias("x"))
-    by_cluster = {r["prediction"]: (r["n"], r["q"]) for r in assigned.groupBy("prediction").agg(F.count("*").alias("n"), F.sum(length2("v")).alias("q")).collect()}
+    # The mean squared distance of x to the rows of a cluster is |x|^2 + sum|y|^2 / n - 2 x . sum(y) / n.
+    sums = assigned.select("prediction", F.inline(F.arrays_zip("i", "x"))).groupBy("prediction", "i").agg(F.sum("x").alias("x"))
+    by_cluster = {r["prediction"]: (r["n"], r["q"]) for r in assigned.groupBy("prediction").agg(F.count("*").alias("n"), F.sum("q").alias("q")).collect()}
     total = {k: [0.0] * len(centres[0]) for k in by_cluster}
     for r in sums.collect():  # clusters x vocabulary numbers
         total[r["prediction"]][r["i"]] = r["x"]
-
-    def mean_distance(k: int):
-        n, q = by_cluster[k]
-        dot = F.aggregate(F.zip_with("v", F.lit(total[k]), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-        return length2("v") + F.lit(q / n) - dot * (2 / n)
+    means = assigned.select("prediction", *[(F.col("q") + q / n - dot(total[k]) * (2 / n)).alias(f"m{k}") for k, (n, q) in by_cluster.items()])
 
     own, other = F.lit(None).cast("double"), []
     for k, (n, _) in by_cluster.items():
         mine = F.col("prediction") == k
-        own = F.when(mine, mean_distance(k) * (n / (n - 1)) if n > 1 else F.lit(None)).otherwise(own)
-        other.append(F.when(~mine, mean_distance(k)))
-    scored = assigned.select(own.alias("a"), F.least(*other).alias("b"))
+        own = F.when(mine, F.col(f"m{k}") * (n / (n - 1)) if n > 1 else F.lit(None)).otherwise(own)
+        other.append(F.when(~mine, F.col(f"m{k}")))
+    scored = means.select(own.alias("a"), F.least(*other).alias("b"))
     value = scored.agg(F.avg(F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))).alias("s"))
 
     terms = tfidf.terms_of(found.model)

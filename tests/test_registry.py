@@ -45,3 +45,13 @@ def test_large_files_are_as_many_as_the_texts_fill(spark, tmp_path):
     assert found == {"text": (3000 * 513, 0), "csv": (3000 * 515, 0)}
     (folder,) = set(kept.glob("texts-*")) - before
     assert len([*(folder / "text").glob("part-*")]) > 4 < len([*(folder / "csv").glob("part-*")])
+
+
+def test_vectors_are_checked_sparse(spark):
+    from pathlib import Path
+
+    kept = Path(spark.conf.get("spark.checkpoint.dir")) / "doclake"
+    before = set(kept.glob("assigned-*"))
+    assert entry.queries()["clustering_checked"](spark, SF).first()["silhouette_agrees"]
+    (folder,) = set(kept.glob("assigned-*")) - before
+    assert spark.read.parquet(str(folder)).columns == ["prediction", "i", "x", "q"]
