@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from doclake.operators import tfidf
 from doclake.session import written
 
+TOPIC_FEATURES, TOPIC_TERMS = 500, 15
+
 
 @dataclass
 class Clustering:
@@ -59,9 +61,14 @@ def text_clustering(df: DataFrame, n_clusters: int = 5, max_features: int = 1000
                     statistics: DataFrame | None = None) -> Clustering:
     """K-means over the texts. They are read twice: for the vocabulary (not if ``statistics``
     are given) and for the vectors; iterations, score and assignments read the written vectors."""
-    spark = df.sparkSession
     vectorizer = tfidf.fit_tfidf(df, text, max_features, stop_words, statistics=statistics)
     table = written(tfidf.vectorize(vectorizer, df.select(key, text), text).select(key, "features"), "vectors")
+    return _clustering(vectorizer, table, n_clusters, n_terms, key, seed, score)
+
+
+def _clustering(vectorizer: PipelineModel, table: DataFrame, n_clusters: int, n_terms: int, key: str, seed: int,
+                score: bool) -> Clustering:
+    spark = table.sparkSession
     vectors = table.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         kmeans = KMeans(k=n_clusters, seed=seed, featuresCol="features", predictionCol="prediction").fit(vectors)
@@ -87,6 +94,26 @@ def topic_modeling(df: DataFrame, n_topics: int = 5, text: str = "extracted_text
                    seed: int = 42, stop_words: list[str] | None = None,
                    statistics: DataFrame | None = None) -> Clustering:
     """Topics are clusters over a vocabulary of 500 terms, described by 15 terms each."""
-    result = text_clustering(df, n_topics, 500, 15, text, key, seed, stop_words, score=False, statistics=statistics)
-    result.model_info = f"Topic modeling with {n_topics} topics"
+    return _as_topics(text_clustering(
+        df, n_topics, TOPIC_FEATURES, TOPIC_TERMS, text, key, seed, stop_words, score=False, statistics=statistics))
+
+
+def _as_topics(result: Clustering) -> Clustering:
+    result.model_info = f"Topic modeling with {result.n_clusters} topics"
     return result
+
+
+def clusters_and_topics(df: DataFrame, n_clusters: int, n_topics: int, text: str = "extracted_text", key: str = "data_id",
+                        seed: int = 42, stop_words: list[str] | None = None) -> tuple[Clustering, Clustering]:
+    """What :func:`text_clustering` and :func:`topic_modeling` give, from two readings of the texts
+    instead of four: one for both vocabularies, one for the vectors over each of them."""
+    terms = written(tfidf.term_statistics(df, text, stop_words), "terms")
+    models = {name: tfidf.fit_tfidf(df, text, n, stop_words, statistics=terms)
+              for name, n in (("clusters", 1000), ("topics", TOPIC_FEATURES))}
+    table = written(tfidf.vectorize_all(models, df.select(F.col(key).alias("key"), text), text).select("key", *models), "vectors")
+
+    def found(name: str, n: int, n_terms: int, score: bool) -> Clustering:
+        vectors = table.select(F.col("key").alias(key), F.col(name).alias("features"))
+        return _clustering(models[name], vectors, n, n_terms, key, seed, score)
+
+    return found("clusters", n_clusters, 10, True), _as_topics(found("topics", n_topics, TOPIC_TERMS, False))

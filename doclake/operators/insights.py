@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from doclake.functions import text as TX
-from doclake.operators import cluster, iforest, sentiment, tfidf
+from doclake.operators import cluster, iforest, sentiment
 from doclake.session import written
 
 
@@ -21,17 +21,16 @@ def ml_sample(processed_data: DataFrame, limit: int | None = None, text: str = "
 def ml_insights(docs: DataFrame, text: str = "extracted_text", key: str = "data_id", seed: int = 42) -> dict:
     """Clusters, topics and sentiment from 5 valid texts on; anomalies from 10 rows on."""
     valid = TX.valid_texts(docs, text)
-    is_valid = F.char_length(TX.strip(text)) > 50
-    counts = docs.agg(F.count_if(F.coalesce(is_valid, F.lit(False))).alias("valid"), F.count(text).alias("rows")).first()
+    # One pass over the texts gives counts, sentiment and features; two more give clusters and topics.
+    measures = written(TX.ml_measures(docs, text, (key,)), "measures")
+    counts = measures.agg(F.count_if("valid").alias("valid"), F.count("*").alias("rows")).first()
     found: dict = {}
     if counts["valid"] >= 5:
-        # One pass over the texts serves both vocabularies.
-        terms = written(tfidf.term_statistics(valid, text), "terms")
-        found["clustering"] = cluster.text_clustering(valid, 3, text=text, key=key, seed=seed, statistics=terms)
-        found["topic_modeling"] = cluster.topic_modeling(valid, 3, text=text, key=key, seed=seed, statistics=terms)
-        found["sentiment_analysis"] = sentiment.sentiment_analysis(valid, text=text, key=key)
+        found["clustering"], found["topic_modeling"] = cluster.clusters_and_topics(valid, 3, 3, text, key, seed)
+        ruled = measures.where("valid").select(key, "sentiment", "confidence")
+        found["sentiment_analysis"] = sentiment.Sentiment(ruled, None, None, sentiment.RULE_BASED)
     if counts["rows"] >= 10:
-        forest, labelled = iforest.fit(TX.ml_features(docs, text, (key,)), key=key, seed=seed)
+        forest, labelled = iforest.fit(measures, key=key, seed=seed)
         found["anomaly_detection"] = labelled
         found["anomaly_model"] = forest
     return found

@@ -18,6 +18,9 @@ from doclake.operators import tfidf
 from doclake.session import written
 
 
+RULE_BASED = "Rule-based sentiment analysis"
+
+
 @dataclass
 class Sentiment:
     predictions: DataFrame
@@ -30,7 +33,8 @@ def rule_based_sentiment(df: DataFrame, text: str = "extracted_text", key: str =
     """key, sentiment in [-1, 1], confidence in [0, 1]."""
     return (
         TX.with_words(df.select(key, text).where(F.col(text).isNotNull()), text)
-        .select(key, TX.rule_sentiment(text, "_words").alias("s"))
+        .select(key, TX.rule_hits("_words").alias("_hits"))
+        .select(key, TX.rule_sentiment(text, hits_col="_hits").alias("s"))
         .select(key, "s.sentiment", "s.confidence")
     )
 
@@ -73,7 +77,7 @@ def sentiment_analysis(df: DataFrame, label: str | None = None, text: str = "ext
 
     The rules also answer when training fails for any reason; ``model_info`` then names it.
     """
-    info = "Rule-based sentiment analysis"
+    info = RULE_BASED
     if label is not None:
         try:
             return _train(df, label, text, key, n_trees, max_depth, max_features, seed, stop_words)

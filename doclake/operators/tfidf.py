@@ -102,6 +102,18 @@ def vectorize(model: PipelineModel, df: DataFrame, text: str = "extracted_text")
     return model.transform(df.where(F.col(text).isNotNull())).drop("_raw", "tokens", "_tf", "_weighted")
 
 
+def vectorize_all(models: dict[str, PipelineModel], df: DataFrame, text: str = "extracted_text") -> DataFrame:
+    """One column of vectors for each model, under its name. The models have the same stop words,
+    so each text is tokenized once for all of them."""
+    tokenizer, remover = next(iter(models.values())).stages[:2]
+    rows = remover.transform(tokenizer.transform(df.where(F.col(text).isNotNull()))).drop("_raw")
+    for name, model in models.items():
+        for stage in model.stages[2:]:
+            rows = stage.transform(rows)
+        rows = rows.withColumnRenamed(model.stages[-1].getOutputCol(), name).drop("_tf", "_weighted")
+    return rows.drop("tokens")
+
+
 def terms_of(model: PipelineModel) -> list[str]:
     return next(s for s in model.stages if isinstance(s, CountVectorizerModel)).vocabulary
 

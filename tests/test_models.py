@@ -148,6 +148,37 @@ def test_path_lengths(features):
         assert math.isclose(row["raw_score"], -(2 ** -(total / 5 / iforest.expected_path(64))))
 
 
+def reads(df, text="extracted_text"):
+    """A frame whose texts count how often they are read."""
+    n = df.sparkSession.sparkContext.accumulator(0)
+
+    def seen(t):
+        n.add(1)
+        return t
+
+    return df.withColumn(text, F.udf(seen, "string").asNondeterministic()(text)), n
+
+
+def test_insights_read_each_text_three_times(docs):
+    """Once for features, sentiment and counts, once for both vocabularies, once for both kinds of vectors."""
+    counted, n = reads(docs.withColumn("extracted_text", F.concat("extracted_text", F.lit(" " + "padding " * 10))))
+    found = insights.ml_insights(counted)
+    for name in ("clustering", "topic_modeling"):
+        assert found[name].assignments.count() == 90
+    assert found["sentiment_analysis"].predictions.count() == found["anomaly_detection"].count() == 90
+    assert n.value <= 3 * 90
+
+
+def test_clusters_and_topics_together(docs):
+    """Both are what each function gives alone, as bits."""
+    clusters, topics = cluster.clusters_and_topics(docs, 3, 3)
+    for got, want in ((clusters, cluster.text_clustering(docs, 3)), (topics, cluster.topic_modeling(docs, 3))):
+        assert sorted(map(tuple, got.assignments.collect())) == sorted(map(tuple, want.assignments.collect()))
+        assert got.top_terms.collect() == want.top_terms.collect()
+        assert got.silhouette.collect() == want.silhouette.collect() and got.model_info == want.model_info
+        assert tfidf.terms_of(got.model) == tfidf.terms_of(want.model)
+
+
 def test_insights_and_storage(spark, docs, folder):
     long = docs.withColumn("extracted_text", F.concat("extracted_text", F.lit(" " + "padding " * 10)))
     found = insights.ml_insights(long)

@@ -90,6 +90,33 @@ def test_features_and_filters(spark):
     assert [f for f in features["a"].asDict() if f != "data_id"] == TX.ML_FEATURES
 
 
+def test_all_measures_in_one_pass(spark):
+    """Together with the parts they share, measures are what each gives alone, for every character there is."""
+    space = " ".join(X.WHITESPACE_CHARS)
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    blocks = ["".join(every[i:i + 64]) for i in range(0, len(every), 64) if "".join(every[i:i + 64]).strip()]
+    texts = [*EDGE, *blocks, "GOOD Bad\u2003good bAd. " + space, "superb " * 20, "\u212a\u0130good good\u0130 \u03a3", "x" * 50, "x" * 51]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "data_id int, extracted_text string")
+    df = df.repartition(8)
+    t = "extracted_text"
+    alone = df.where(F.col(t).isNotNull()).select(
+        "data_id", (F.char_length(TX.strip(t)) > 50).alias("valid"),
+        F.regexp_count(t, F.lit(r"\p{IsUppercase}")).alias("capitals"), F.regexp_count(t, F.lit(f"[{X.DIGITS}]")).alias("digits"),
+        F.regexp_count(t, F.lit(rf"[^\p{{L}}\p{{N}}{X.WHITESPACE}]")).alias("specials"), F.char_length(t).alias("n"), F.col(t).alias("t"))
+    together = {r["data_id"]: r for r in TX.ml_measures(df).collect()}
+    features = {r["data_id"]: r for r in TX.ml_features(df).collect()}
+    assert set(together) == set(features) == set(range(len(texts)))
+    lexicon = {w: s for words, s in ((X.RULE_POSITIVE_WORDS, 1), (X.RULE_NEGATIVE_WORDS, -1)) for w in words}
+    for r in alone.collect():
+        got, n = together[r["data_id"]], max(r["n"], 1)
+        assert got["valid"] == r["valid"]
+        assert (got["capital_ratio"], got["digit_ratio"], got["special_char_ratio"]) == (r["capitals"] / n, r["digits"] / n, r["specials"] / n)
+        assert [got[f] for f in TX.ML_FEATURES] == [features[r["data_id"]][f] for f in TX.ML_FEATURES]
+        found = [lexicon[w] for w in {w.lower() for w in r["t"].split()} if w in lexicon]
+        assert math.isclose(got["sentiment"], sum(found) / max(len(found), 1))
+        assert math.isclose(got["confidence"], min(abs(got["sentiment"]) * 2, 1.0))
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([("a", "x")], "data_id string, extracted_text string")
     plan = TX.ml_features(df)._jdf.queryExecution().executedPlan().toString()
