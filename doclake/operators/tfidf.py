@@ -43,13 +43,15 @@ def term_statistics(df: DataFrame, text: str = "extracted_text", stop_words: lis
     Each text gives its tokens followed by its distinct tokens, so position tells the two
     counts apart. A leading empty token counts the texts: the row of term '' has their
     number as tf. Counts combine before the shuffle, so frequent terms are no hot keys.
-    The explode is the outer form: the plain one would tokenize every text twice.
+    The explode is the outer form: the plain one would tokenize every text twice. Stop words
+    are left out as terms, not text by text.
     """
+    tokenizer, remover = _stages(text, stop_words)
     listed = F.concat(F.array(F.lit("")), "tokens", F.array_distinct("tokens"))
-    rows = tokens(df.select(text), text, stop_words).select(
-        F.size("tokens").alias("n"), F.posexplode_outer(listed).alias("pos", "term")
-    )
-    return rows.groupBy("term").agg(
+    raw = tokenizer.transform(df.select(text).where(F.col(text).isNotNull())).select(F.col("_raw").alias("tokens"))
+    rows = raw.select(F.size("tokens").alias("n"), F.posexplode_outer(listed).alias("pos", "term"))
+    stop = [w for w in remover.getStopWords() if w]
+    return rows.where(~F.col("term").isin(stop)).groupBy("term").agg(
         F.count_if(F.col("pos") <= F.col("n")).alias("tf"), F.count_if(F.col("pos") > F.col("n")).alias("df")
     )
 
@@ -104,9 +106,10 @@ def vectorize(model: PipelineModel, df: DataFrame, text: str = "extracted_text")
 
 def vectorize_all(models: dict[str, PipelineModel], df: DataFrame, text: str = "extracted_text") -> DataFrame:
     """One column of vectors for each model, under its name. The models have the same stop words,
-    so each text is tokenized once for all of them."""
-    tokenizer, remover = next(iter(models.values())).stages[:2]
-    rows = remover.transform(tokenizer.transform(df.where(F.col(text).isNotNull()))).drop("_raw")
+    so each text is tokenized once for all of them, and as no vocabulary holds a stop word, none has
+    to be taken out of the texts."""
+    tokenizer = next(iter(models.values())).stages[0]
+    rows = tokenizer.transform(df.where(F.col(text).isNotNull())).withColumnRenamed("_raw", "tokens")
     for name, model in models.items():
         for stage in model.stages[2:]:
             rows = stage.transform(rows)

@@ -95,7 +95,8 @@ def test_all_measures_in_one_pass(spark):
     space = " ".join(X.WHITESPACE_CHARS)
     every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
     blocks = ["".join(every[i:i + 64]) for i in range(0, len(every), 64) if "".join(every[i:i + 64]).strip()]
-    texts = [*EDGE, *blocks, "GOOD Bad\u2003good bAd. " + space, "superb " * 20, "\u212a\u0130good good\u0130 \u03a3", "x" * 50, "x" * 51]
+    texts = [*EDGE, *blocks, "GOOD Bad\u2003good bAd. " + space, "superb " * 20, "\u212a\u0130good good\u0130 \u03a3", "x" * 50, "x" * 51,
+             " " * 300 + "x" * 50 + " " * 300, " " * 300 + "x" * 51 + " ", "y" + " " * 250 + "y", "y" + " " * 49 + "y", "y" + " " * 48 + "y"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "data_id int, extracted_text string")
     df = df.repartition(8)
     t = "extracted_text"
