@@ -55,3 +55,20 @@ def test_vectors_are_checked_sparse(spark):
     assert entry.queries()["clustering_checked"](spark, SF).first()["silhouette_agrees"]
     (folder,) = set(kept.glob("assigned-*")) - before
     assert spark.read.parquet(str(folder)).columns == ["prediction", "i", "x", "q"]
+
+
+def test_sizes_are_shown_as_they_are(spark, tmp_path):
+    def plain(size):
+        power = 0
+        while size >= 1024 and power < 4:
+            size, power = size / 1024, power + 1
+        return f"{size:.2f} {['B', 'KB', 'MB', 'GB', 'TB'][power]}" if size else "0 B"
+
+    # From 1152 on each is an exact tie in KB; the ones before, but 0, would change if rounded down to a multiple of 128.
+    sizes = [0, 1, 127, 129, 1023, 1100, 20_001, 128_657, *range(1152, 40_000, 256)]
+    rows = [(i, "", "en", "s", n) for i, n in enumerate(sizes)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    found = entry.queries()["format_file_size"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    columns = {"bytes": 1, "thousands": 10**3, "millions": 10**6, "huge": 10**12}
+    assert [[r[c] for c in columns] for r in found] == [[plain(n * k) for k in columns.values()] for n in sizes]
